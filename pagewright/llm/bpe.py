@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import text_batches
 from .tables import HashTable64
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 120_000
 LONG_PIECE = 48
 
 # Symbols: what the scanner sees at a code point, with its look-ahead.
@@ -136,6 +136,41 @@ def piece_starts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return offsets[begin], counts
 
 
+def merge_rows(flat: np.ndarray, size: np.ndarray, pairs: HashTable64) -> tuple[np.ndarray, np.ndarray]:
+    """Merges many short symbol rows side by side; flat: their ids end to end, pairs: (left << 32 | right) to the merged id.
+
+    Returns the merged ids end to end and their number in each row.
+
+    Ids of merges grow with their rank, so in each turn every row merges its leftmost pair of least id.
+    """
+    none, n, wide = np.int32(2**31 - 1), len(size), int(size.max(initial=0))
+    row, col = np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    ids = np.zeros((n, wide + 1), np.int64)
+    ids[row, col] = flat
+
+    def ranked(a: np.ndarray, b: np.ndarray, good: np.ndarray) -> np.ndarray:
+        found = pairs.get((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
+        return np.where(good & (found >= 0), found, none)
+
+    size, place, live = size.copy(), np.arange(wide), np.arange(n)
+    best = ranked(ids[:, :-1], ids[:, 1:], place[None, :] + 1 < size[:, None])
+    while len(live):
+        k = best[live].argmin(1)
+        got = best[live, k]
+        live, k, got = live[got < none], k[got < none], got[got < none]
+        if not len(live):
+            break
+        shift = place[None, :] + (place[None, :] > k[:, None])  # drops position k + 1
+        ids[live, :wide] = np.take_along_axis(ids[live], shift, 1)
+        ids[live, k] = got
+        best[live] = np.take_along_axis(np.concatenate([best[live], np.full((len(live), 1), none)], 1), shift, 1)
+        size[live] -= 1
+        best[live, k] = ranked(ids[live, k], ids[live, k + 1], k + 1 < size[live])
+        left = np.maximum(k - 1, 0)
+        best[live, left] = np.where(k > 0, ranked(ids[live, left], ids[live, k], k > 0), best[live, left])
+    return ids[np.arange(wide + 1)[None, :] < size[:, None]], size
+
+
 class ByteBPE:
     """Encoder and decoder over a file of ranks; merges of pieces are cached, up to a bound."""
 
@@ -151,6 +186,7 @@ class ByteBPE:
         pairs = {(ranks[t[:k]] << 32 | ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pairs = HashTable64(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """Merges of one long piece by a heap of pair ranks over a linked list."""
@@ -171,46 +207,21 @@ class ByteBPE:
         return tuple(self.ranks[p] for p in parts if p)
 
     def _merge_batch(self, pieces: list[bytes]) -> None:
-        """Merges short pieces side by side: in each turn every piece merges its leftmost pair of least rank."""
-        rank, none = self.pairs, np.int32(2**31 - 1)
         pieces.sort(key=len)
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
-            size = np.array([len(p) for p in some])
-            wide = int(size[-1])
-            row, col = np.repeat(np.arange(len(some)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            ids = np.zeros((len(some), wide + 1), np.int64)
-            ids[row, col] = self.of_byte[np.frombuffer(b"".join(some), np.uint8)]
-
-            def ranked(a: np.ndarray, b: np.ndarray, good: np.ndarray) -> np.ndarray:
-                found = rank.get((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
-                return np.where(good & (found >= 0), found, none)
-
-            place = np.arange(wide)
-            best = ranked(ids[:, :-1], ids[:, 1:], place[None, :] + 1 < size[:, None])
-            live = np.arange(len(some))
-            while len(live):
-                k = best[live].argmin(1)
-                got = best[live, k]
-                live, k, got = live[got < none], k[got < none], got[got < none]
-                if not len(live):
-                    break
-                shift = place[None, :] + (place[None, :] > k[:, None])  # drops position k + 1
-                ids[live, :wide] = np.take_along_axis(ids[live], shift, 1)
-                ids[live, k] = got
-                best[live] = np.take_along_axis(np.concatenate([best[live], np.full((len(live), 1), none)], 1), shift, 1)
-                size[live] -= 1
-                best[live, k] = ranked(ids[live, k], ids[live, k + 1], k + 1 < size[live])
-                left = np.maximum(k - 1, 0)
-                best[live, left] = np.where(k > 0, ranked(ids[live, left], ids[live, k], k > 0), best[live, left])
-            for piece, n, found in zip(some, size.tolist(), ids.tolist(), strict=True):
-                self.cache[piece] = tuple(found[:n])
+            flat = self.of_byte[np.frombuffer(b"".join(some), np.uint8)]
+            merged, sizes = merge_rows(flat, np.array([len(p) for p in some]), self.pairs)
+            ends, ids = np.cumsum(sizes).tolist(), merged.tolist()
+            self.cache.update(zip(some, (tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def _learn(self, pieces: list[bytes]) -> None:
         new = {p for p in pieces if p not in self.cache}
         short = []
         for p in new:
-            if (r := self.ranks.get(p)) is not None:
+            if (known := self.older.get(p)) is not None:
+                self.cache[p] = known
+            elif (r := self.ranks.get(p)) is not None:
                 self.cache[p] = (r,)
             elif len(p) > LONG_PIECE:
                 self.cache[p] = self._merge_long(p)
@@ -225,7 +236,7 @@ class ByteBPE:
         cuts = starts.tolist()
         pieces = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=False)]
         if len(self.cache) > self.limit:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}  # what is still in use moves over
         self._learn(pieces)
         get, out, at = self.cache.__getitem__, [], 0
         for n in counts.tolist():

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pagewright.session import table
 
-from . import bpe, gif, langid, sharding, simhash
+from . import bpe, gif, html_extract, langid, packing, sharding, simhash
 
 QUERIES = {
     "op1_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
     "op2_langid": lambda spark, d: langid.query(table(spark, d, "documents")),
     "op3_gif": lambda spark, d: gif.query(table(spark, d, "documents")),
+    "op5_html": lambda spark, d: html_extract.query(table(spark, d, "pages")),
+    "op7_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
     "op4_sharding": lambda spark, d: sharding.query(table(spark, d, "documents")),
     "op10_simhash": lambda spark, d: simhash.query(table(spark, d, "documents")),
 }
