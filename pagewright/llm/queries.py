@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pagewright.session import table
 
-from . import bpe, gif, html_extract, langid, packing, sharding, simhash
+from . import bpe, covertree, gif, html_extract, langid, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
@@ -12,6 +12,8 @@ QUERIES = {
     "op3_gif": lambda spark, d: gif.query(table(spark, d, "documents")),
     "op5_html": lambda spark, d: html_extract.query(table(spark, d, "pages")),
     "op7_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
+    "op6_covertree": lambda spark, d: covertree.query(table(spark, d, "embeddings")),
+    "op8_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_sharding": lambda spark, d: sharding.query(table(spark, d, "documents")),
     "op10_simhash": lambda spark, d: simhash.query(table(spark, d, "documents")),
 }
