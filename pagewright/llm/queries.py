@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pagewright.session import table
 
-from . import bpe, covertree, gif, html_extract, langid, packing, quality, sharding, simhash
+from . import bpe, covertree, gif, html_extract, langid, packing, quality, sharding, simhash, suffix_dedup
 
 QUERIES = {
     "op1_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_covertree": lambda spark, d: covertree.query(table(spark, d, "embeddings")),
     "op8_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_sharding": lambda spark, d: sharding.query(table(spark, d, "documents")),
+    "op9_suffix": lambda spark, d: suffix_dedup.query(table(spark, d, "documents")),
     "op10_simhash": lambda spark, d: simhash.query(table(spark, d, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -39,14 +39,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) of every row; null texts count as empty."""
+    """doc_id, th (hash of the text), fp (signed long) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = [fingerprint(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(found, pa.int64())], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def popcounts(fps: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
@@ -128,7 +129,7 @@ def links(fps: DataFrame, radius: int = 2, cap: int = CELL_CAP) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs (doc_id, text).
+    """doc_id, th, fp, component, component_id of every row of docs (doc_id, text); component is one of its fingerprints.
 
     Rows link if their fingerprints differ in at most 2 bits; the component is the smallest doc_id reachable. Null
     texts have the fingerprint of empty ones; rows with a null doc_id keep it and count as linked, but never name a
@@ -140,8 +141,23 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     named = own.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "named")
     least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    whole = materialize(named.join(least, "component").select("fp", "component_id"), "whole")
-    return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = materialize(named.join(least, "component").select("fp", "component", "component_id"), "whole")
+    return rows.join(whole, "fp").select("doc_id", "th", "fp", "component", "component_id")
+
+
+def first_of_groups(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs without near-duplicates: of each group the row with the smallest doc_id, all columns kept.
+
+    Of several rows with that id one is chosen by the hash of its text; exact repeats of it leave one row. A group with null
+    ids only keeps one row too.
+    """
+    found = near_duplicates(docs, width)
+    named = found.where(F.col("doc_id").isNotNull() | F.col("component_id").isNull())
+    chosen = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("c")).select(F.col("c.doc_id").alias("_id"), F.col("c.th").alias("_th"))
+    chosen = materialize(chosen, "chosen")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(chosen, (keyed["_key"] == chosen["_th"]) & keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]))
+    return kept.dropDuplicates(["doc_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
