@@ -228,7 +228,8 @@ def removals(docs: DataFrame, crowded: int = CROWDED, shard_bytes: int = SHARD_B
     facts = materialize(_scan(rows), "facts")
     every = facts.select("t1", "t2", F.explode("anchors").alias("x")).select("t1", "t2", "x.*")
     again = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    met = materialize(every.join(again, "h").groupBy("t1", "t2", "h", "s", "a", "b").agg(F.count("*").alias("n")), "met")
+    met = every.join(again, "h").repartition("t1", "t2", "a", "h")  # so that the join of a hot anchor may be split
+    met = materialize(met.groupBy("t1", "t2", "h", "s", "a", "b").agg(F.count("*").alias("n")), "met")
     alike = materialize(met.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "a", "b")).alias("rep")), "snippets")
     mixed = materialize(alike.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
     texts = _packed(rows).groupBy("t1", "t2").agg(F.first("z").alias("z")).join(met.select("t1", "t2").distinct(), ["t1", "t2"])
