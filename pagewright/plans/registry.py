@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import books, text_queries
+from pagewright.plans import books, text_queries, toc_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (books, text_queries):
+for _module in (books, text_queries, toc_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 
-FLAGSHIP = "s02_page_count"
+FLAGSHIP = "toc_page_detect"

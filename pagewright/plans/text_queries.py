@@ -116,9 +116,9 @@ def metadata(spark, d):
 
 def kinds(spark, d):
     """Recognised kinds mapped to references, and a parent's text joined with its children's."""
-    names = ["title", "section_header", "text", "list", "image", "figure", "table", "formula", "footnote", "seal"]
-    refs = ["title", "sub_title", "text", "text", "image", "image", "table", "equation", "text", None]
-    kind = F.element_at(F.array(*map(F.lit, names)), (F.col("ord") % 10 + 1).cast("int"))
+    names = ["text", "title", "image", "image_caption", "table", "table_caption", "equation", "equation_caption", "footnote", "aside", "seal"]
+    refs = ["text", "sub_title", "image", "image_caption", "table", "table_caption", "equation", "equation_caption", "text", "text", None]
+    kind = F.element_at(F.array(*map(F.lit, names)), (F.col("ord") % 11 + 1).cast("int"))
     ref = F.create_map(*[F.lit(x) for k, r in zip(names, refs, strict=True) if r for x in (k, r)])[kind]
     html = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("<b>"), F.substring("text", 1, 10), F.lit("</b>")))
     parts = F.array(F.coalesce(html, F.substring("text", 1, 15)), F.substring("text", 16, 10), F.substring("text", 40, 5))
@@ -134,7 +134,7 @@ def void_tags(spark, d):
 def ramps(spark, d):
     """sampling parameters by try."""
     n = (F.col("doc_id") % 7).cast("long")
-    return _docs(spark, d).select("doc_id", F.round(T.ramp(0.2, 0.8, n, 5), 6).alias("ramp"), F.round(T.halving(0.2, 1.0, n), 6).alias("halving"))
+    return _docs(spark, d).select("doc_id", F.round(T.ramp(0.2, 0.8, n, 4), 6).alias("ramp"), F.round(T.halving(0.2, 1.0, n), 6).alias("halving"))
 
 
 def answers(spark, d):
@@ -178,7 +178,7 @@ QUERIES = {
 _STOP = "".join(f"\\{c}" if c in "[]^-{}" else c for c in T.STOP_MARKS)
 _CONT = "".join(f"\\{c}" if c in "[]^-{}" else c for c in T.CONTINUE_MARKS)
 _VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_HAN_WANT))
-_VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+_VOID = "area|base|br|col|embed|hr|img|input|link|param|source|track|wbr"
 
 ORACLE_SQL = {
     "text_normalize_title": f"SELECT doc_id, {sql_title_key('split_part(text, chr(10), 1)')} AS title_key FROM documents",
@@ -202,20 +202,22 @@ ORACLE_SQL = {
         WHEN regexp_matches(c, '{T.NUMBERING}[{_RE2_SPACE}]*[^{_RE2_SPACE}]') THEN false ELSE true END AS mergeable,
         regexp_matches(a, '[{T.LATIN}][{T.LINK_MARKS}]$') AND regexp_matches(c, '^[{T.LATIN}]') AS split_word FROM s""",
     "table_text_tests": f"""WITH x AS (SELECT doc_id, {_sql_collapse("list_value('Table 1: ', 'Note: ', '', 'Source. ')[doc_id % 4 + 1] || substr(text, 1, 40)")} AS x FROM documents)
-        SELECT doc_id, length(x) > 0 AND length(x) <= 180 AND (regexp_matches(x, '(?i)^(table|tab\\.|表)\\s*[\\divxlc一二三四五六七八九十]') OR regexp_matches(x, '[:：]$')) AS is_title,
-        length(x) > 0 AND length(x) <= 260 AND (regexp_matches(x, '(?i)^(source|sources|note|notes|注|资料来源|来源)\\s*[:：.]') OR regexp_matches(x, '^[*†‡§]') OR lower(x) = 'category not applicable.') AS is_caption FROM x""",
+        SELECT doc_id, length(x) > 0 AND length(x) <= 180 AND (regexp_matches(x, '{T.TABLE_TITLE}') OR regexp_matches(x, '[:：]$')) AS is_title,
+        length(x) > 0 AND length(x) <= 260 AND (regexp_matches(x, '{T.TABLE_NOTE}') OR regexp_matches(x, '{T.TABLE_FOOTNOTE}') OR lower(x) = 'category not applicable.') AS is_caption FROM x""",
     "pdf_metadata": """SELECT doc_id, list_value('A B|E F', 'A B|E F', 'A B|E F', 'A B|C, D E F')[doc_id % 4 + 1] AS authors,
         CASE WHEN doc_id % 3 = 0 THEN '2000-01-01 00:00:00' ELSE '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-05 10:11:12' END AS modified,
         CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) ELSE source END AS title FROM documents""",
-    "layout_kind_map": f"""WITH {LAYOUTS_SQL}, x AS (SELECT *, list_value('title', 'sub_title', 'text', 'text', 'image', 'image', 'table', 'equation', 'text', NULL)[ord % 10 + 1] AS k,
+    "layout_kind_map": f"""WITH {LAYOUTS_SQL}, x AS (SELECT *, list_value('text', 'sub_title', 'image', 'image_caption', 'table', 'table_caption', 'equation', 'equation_caption', 'text', 'text', NULL)[ord % 11 + 1] AS k,
         list_value(CASE WHEN ord % 5 = 0 THEN '<b>' || substr(text, 1, 10) || '</b>' ELSE substr(text, 1, 15) END, substr(text, 16, 10), substr(text, 40, 5)) AS p FROM layouts)
         SELECT book, page_index, ord, k AS ref, array_to_string(list_filter(p, lambda q: q <> ''), chr(10)) AS text FROM x WHERE k IS NOT NULL""",
     "void_tag_fix": f"SELECT page_id, md5(regexp_replace(html, '(?i)<({_VOID})\\b([^<>]*?)\\s*/?>', '<\\1\\2 />', 'g')) AS digest FROM pages",
     "param_ramps": """SELECT doc_id, round(CAST(0.2 AS DOUBLE) + CAST(0.6 AS DOUBLE) * least(doc_id % 7, 4) / 4, 6) AS ramp,
         round(CAST(1.0 AS DOUBLE) - CAST(0.8 AS DOUBLE) * pow(CAST(0.5 AS DOUBLE), doc_id % 7), 6) AS halving FROM documents""",
-    "json_answer": """WITH x AS (SELECT conv_id, turn, list_value('```json' || chr(10) || '{"a": ', 'Sorry, ', '[1] ', '')[turn % 4 + 1] || substr(text, 1, 20) AS t FROM conversations)
-        SELECT conv_id, turn, nullif(regexp_extract(regexp_replace(t, '```(?:json)?', '', 'g'), '(?s)([\\[{].*)', 1), '') AS body,
-        regexp_matches(lower(t), '\\b(i can''t|i cannot|i''m unable|i am unable|sorry)\\b') AS refused FROM x""",
+    "json_answer": """WITH x AS (SELECT conv_id, turn, list_value('```json' || chr(10) || '{"a": ', 'Sorry, ', '[1] ', '')[turn % 4 + 1] || substr(text, 1, 20) AS t FROM conversations),
+        y AS (SELECT *, trim(regexp_replace(t, '(?is)```(?:json)?\\s*\\n?(.*?)\\n?```', '\\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS x FROM x),
+        z AS (SELECT *, regexp_extract(x, '(?s)\\[.*\\]') AS a, regexp_extract(x, '(?s)\\{.*\\}') AS o FROM y)
+        SELECT conv_id, turn, CASE WHEN a <> '' AND o <> '' THEN CASE WHEN instr(x, '[') < instr(x, '{') THEN a ELSE o END WHEN a <> '' THEN a WHEN o <> '' THEN o ELSE x END AS body,
+        regexp_matches(t, '(?i)\\b(sorry|cannot|can''t|unable to|do not understand)\\b|抱歉|无法') AND NOT regexp_matches(t, '[\\[{]') AS refused FROM z""",
     "font_and_tag_tests": """SELECT doc_id, NOT regexp_matches(text, '[^\\x{0}-\\x{ff}]') AS latin1, lang AS tag, TRY_CAST(split_part(text, ' ', 1) AS INT) IS NOT NULL AS is_id FROM documents""",
     "markdown_escape": """SELECT doc_id, md5(replace(replace(text, '\\', '\\\\'), '$', '\\$')) AS digest, list_value('$', '$$', '\\(', '\\[', 'text')[doc_id % 5 + 1] AS code FROM documents""",
 }
