@@ -177,7 +177,7 @@ def close_void(c: Column) -> Column:
 def fold_lines(c: Column) -> Column:
     """Line breaks of a paragraph to spaces, to nothing between Han characters."""
     wide = r"\x{3000}-\x{303f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ff00}-\x{ffef}"
-    return F.regexp_replace(F.regexp_replace(c, f"(?<=[{wide}])\\s*\\n\\s*(?=[{wide}])", ""), r"\s*\n\s*", " ")
+    return F.regexp_replace(F.regexp_replace(c, f"([{wide}][^\\S\\n]*)\\n\\s*(?=[{wide}])", "$1"), r"\n\s*", " ")
 
 
 def escape_markdown(c: Column) -> Column:
