@@ -123,6 +123,8 @@ def _states(symbols: np.ndarray) -> np.ndarray:
 
 def piece_starts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of all pieces of the texts laid end to end (UTF-8), and how many pieces each text has."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lengths = np.array([len(t) for t in texts])
     points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     last = np.cumsum(lengths + 1) - 1
@@ -132,7 +134,7 @@ def piece_starts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begin = _machine()[3][_states(symbols), symbols] & ~ends
     widths = (1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)) * ~ends
     offsets = np.cumsum(widths) - widths
-    counts = np.add.reduceat(np.append(begin, False), np.append(0, last[:-1] + 1), dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(np.append(begin, False), np.append(0, last[:-1] + 1), dtype=np.int64)
     return offsets[begin], counts
 
 
