@@ -30,7 +30,7 @@ CROWDED = 4_000
 STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
-ANCHORS = "array<struct<h:long,s:long,a:int,b:int>>"
+ANCHORS = "array<struct<h:long,s:long,a:int,b:int,e:int,n:int>>"
 
 
 @lru_cache(1)
@@ -55,10 +55,12 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash h, snippet digest s and window range a:b of each snippet of a text, in order; all windows are covered.
+def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchor hash h, snippet digest s, window range a:b of each snippet of a text, in order; all windows are covered.
 
-    Long texts are taken in steps; a snippet that a step cuts only becomes two.
+    Where a text repeats with a short period, equal snippets follow each other: such a run is one row, with the range of its
+    first snippet, the end e of the run, and the number n of snippets. Long texts are taken in steps; a snippet that a
+    step cuts only becomes two.
     """
     wide, parts = length - gram + 1, []
     for at in range(0, len(raw) - length + 1, STEP):
@@ -79,8 +81,11 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         s = np.array([digest(raw[p + at : q + at + length - 1], x) for p, q, x in zip(a.tolist(), b.tolist(), (place[a] - a).tolist(), strict=True)], np.uint64)
         parts.append((h[place[a]].view(np.int64), s.view(np.int64), a + at, b + at))
     if not parts:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        return (np.zeros(0, np.int64),) * 6
+    h, s, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])))
+    last = np.append(first[1:], len(h)) - 1
+    return h[first], s[first], a[first], b[first], b[last], last - first + 1
 
 
 def text_key() -> list[Column]:
@@ -95,9 +100,9 @@ def _scan(rows: DataFrame) -> DataFrame:
         for batch in text_batches(batches):
             raws = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             found = [anchors(r) for r in raws]
-            h, s, a, b = (np.concatenate([f[k] for f in found]) for k in range(4))
+            columns = [np.concatenate([f[k] for f in found]) for k in range(6)]
             offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-            inner = pa.StructArray.from_arrays([pa.array(h), pa.array(s), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["h", "s", "a", "b"])
+            inner = pa.StructArray.from_arrays([pa.array(c if k < 2 else c.astype(np.int32)) for k, c in enumerate(columns)], ["h", "s", "a", "b", "e", "n"])
             columns = [pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), pa.ListArray.from_arrays(offsets, inner)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), *columns], ["doc_id", "t1", "t2", "n_bytes", "sha", "anchors"])
 
@@ -227,9 +232,9 @@ def removals(docs: DataFrame, crowded: int = CROWDED, shard_bytes: int = SHARD_B
     rows = rows.select("doc_id", "text", *text_key())
     facts = materialize(_scan(rows), "facts")
     every = facts.select("t1", "t2", F.explode("anchors").alias("x")).select("t1", "t2", "x.*")
-    again = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    again = materialize(every.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "again")
     met = every.join(again, "h").repartition("t1", "t2", "a", "h")  # so that the join of a hot anchor may be split
-    met = materialize(met.groupBy("t1", "t2", "h", "s", "a", "b").agg(F.count("*").alias("n")), "met")
+    met = materialize(met.groupBy("t1", "t2", "h", "s", "a", "b", "e").agg(F.sum("n").alias("n")), "met")
     alike = materialize(met.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "a", "b")).alias("rep")), "snippets")
     mixed = materialize(alike.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
     texts = _packed(rows).groupBy("t1", "t2").agg(F.first("z").alias("z")).join(met.select("t1", "t2").distinct(), ["t1", "t2"])
@@ -238,7 +243,7 @@ def removals(docs: DataFrame, crowded: int = CROWDED, shard_bytes: int = SHARD_B
     want = want.groupBy("t1", "t2").agg(F.collect_list("w").alias("want"))  # bounded by the text
     snippets = materialize(texts.join(want, ["t1", "t2"]).mapInArrow(_cut, "h long, s long, c long, snippet binary"), "cut")
     marks = materialize(_marks(snippets, crowded, shard_bytes), "marks")
-    plain = met.join(materialize(alike.where("n > 1").select("h", "s"), "plain"), ["h", "s"]).select("t1", "t2", "a", "b")
+    plain = met.join(materialize(alike.where("n > 1").select("h", "s"), "plain"), ["h", "s"]).select("t1", "t2", "a", F.col("e").alias("b"))
     partly = met.join(marks, ["h", "s"]).select("t1", "t2", (F.col("a") + F.col("u")).alias("a"), (F.col("a") + F.col("v")).alias("b"))
     cut = materialize(plain.union(partly), "ranges").groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("cut"))  # bounded by the text
     gone = texts.join(cut, ["t1", "t2"]).mapInArrow(_keep, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
