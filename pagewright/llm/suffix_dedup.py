@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,13 @@ from .induced import Store, suffixes
 LENGTH = 400
 GRAM = 160
 SHARD_BYTES = 4 << 20
-CROWDED = 4_000
+SPLIT = 256
+PARTS = 8
+CROWDED = 20_000
 STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
-ANCHORS = "array<struct<h:long,s:long,a:int,b:int,e:int,n:int>>"
+ANCHORS = "array<struct<h:long,s:long,a:int,b:int,e:int,n:int,p:int>>"
 
 
 @lru_cache(1)
@@ -59,7 +61,7 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     """Anchor hash h, snippet digest s, window range a:b of each snippet of a text, in order; all windows are covered.
 
     Where a text repeats with a short period, equal snippets follow each other: such a run is one row, with the range of its
-    first snippet, the end e of the run, and the number n of snippets. Long texts are taken in steps; a snippet that a
+    first snippet, the end e of the run, and the number n of snippets; p is the place of the anchor after a. Long texts are taken in steps; a snippet that a
     step cuts only becomes two.
     """
     wide, parts = length - gram + 1, []
@@ -79,13 +81,13 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         b = np.append(a[1:], windows)
         digest = xxhash.xxh3_64_intdigest
         s = np.array([digest(raw[p + at : q + at + length - 1], x) for p, q, x in zip(a.tolist(), b.tolist(), (place[a] - a).tolist(), strict=True)], np.uint64)
-        parts.append((h[place[a]].view(np.int64), s.view(np.int64), a + at, b + at))
+        parts.append((h[place[a]].view(np.int64), s.view(np.int64), a + at, b + at, place[a] - a))
     if not parts:
-        return (np.zeros(0, np.int64),) * 6
-    h, s, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return (np.zeros(0, np.int64),) * 7
+    h, s, a, b, p = (np.concatenate(x) for x in zip(*parts, strict=True))
     first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])))
     last = np.append(first[1:], len(h)) - 1
-    return h[first], s[first], a[first], b[first], b[last], last - first + 1
+    return h[first], s[first], a[first], b[first], b[last], last - first + 1, p[first]
 
 
 def text_key() -> list[Column]:
@@ -100,9 +102,9 @@ def _scan(rows: DataFrame) -> DataFrame:
         for batch in text_batches(batches):
             raws = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             found = [anchors(r) for r in raws]
-            columns = [np.concatenate([f[k] for f in found]) for k in range(6)]
+            columns = [np.concatenate([f[k] for f in found]) for k in range(7)]
             offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-            inner = pa.StructArray.from_arrays([pa.array(c if k < 2 else c.astype(np.int32)) for k, c in enumerate(columns)], ["h", "s", "a", "b", "e", "n"])
+            inner = pa.StructArray.from_arrays([pa.array(c if k < 2 else c.astype(np.int32)) for k, c in enumerate(columns)], ["h", "s", "a", "b", "e", "n", "p"])
             columns = [pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), pa.ListArray.from_arrays(offsets, inner)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), *columns], ["doc_id", "t1", "t2", "n_bytes", "sha", "anchors"])
 
@@ -127,14 +129,32 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         yield i, press.decompress(z.as_py())
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Snippet bytes of the wanted window ranges of each text."""
+def parts_of(raw: bytes, a: int, b: int, p: int, parts: int = PARTS, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
+    """Cuts the windows a:b around an anchor at a + p by their distance to it: key, first and last window of each part.
+
+    All windows of a part share a core around the anchor, longer than the anchor itself; its hash is the key, so equal
+    windows get equal keys, and snippets that share little more than the anchor part ways.
+    """
+    wide, low = length - gram + 1, a + p - (length - gram)
+    step = -(-wide // parts)
+    for j in range(parts):
+        start, end = low + j * step, low + (j + 1) * step
+        if max(a, start) < min(b, end):
+            core = raw[end - 1 : start + length]
+            yield xxhash.xxh3_64_intdigest(core, j) - (1 << 63), max(a, start), min(b, end)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], split: int, crowded: int) -> Iterator[pa.RecordBatch]:
+    """Snippet bytes of the wanted window ranges of each text, in parts where many snippets share an anchor."""
     for batch in batches:
         for i, raw in _unpacked(batch):
-            want = batch.column("want")[i].as_py()
-            texts = [raw[w["a"] : w["b"] + LENGTH - 1] for w in want]
-            columns = [[w[k] for w in want] for k in ("h", "s", "c")]
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), pa.array(texts, pa.binary())], ["h", "s", "c", "snippet"])
+            rows = []
+            for w in batch.column("want")[i].as_py():
+                whole = [(w["h"], w["a"], w["b"])]
+                for key, start, end in parts_of(raw, w["a"], w["b"], w["p"]) if split < w["c"] <= crowded else whole:
+                    rows.append((w["h"], w["s"], w["c"], key, start - w["a"], raw[start : end + LENGTH - 1]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["h", "s", "c", "key", "from", "snippet"])
 
 
 def repeats(text: np.ndarray, starts: np.ndarray, widths: np.ndarray, length: int = LENGTH, held: int | None = None) -> list[list[tuple[int, int]]]:
@@ -160,9 +180,9 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with tempfile.TemporaryFile() as f:  # of this task alone, gone with it
         keys, starts, widths, at = [], [], [], 0
         for batch in batches:
-            for h, s, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "snippet")), strict=True):
+            for h, s, skip, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "from", "snippet")), strict=True):
                 (np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 1, 0)).astype(np.uint16).tofile(f)
-                keys.append((h, s))
+                keys.append((h, s, skip))
                 starts.append(at)
                 widths.append(len(raw) - LENGTH + 1)
                 at += len(raw) + 1
@@ -173,7 +193,7 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = repeats(text, np.array(starts), np.array(widths))
     keep = [(k, r) for k, r in zip(keys, found, strict=True) if r]
     kind = pa.list_(pa.struct([("u", pa.int32()), ("v", pa.int32())]))
-    ranges = [[{"u": u, "v": v} for u, v in r] for _, r in keep]
+    ranges = [[{"u": u + k[2], "v": v + k[2]} for u, v in r] for k, r in keep]
     yield pa.record_batch([pa.array([k[0] for k, _ in keep], pa.int64()), pa.array([k[1] for k, _ in keep], pa.int64()), pa.array(ranges, kind)], ["h", "s", "ranges"])
 
 
@@ -189,13 +209,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marks(snippets: DataFrame, crowded: int, shard_bytes: int) -> DataFrame:
     """h, s and the repeated window ranges of snippets that share an anchor with other snippets.
 
-    Anchors of more than `crowded` different snippets would overload one shard; their windows are counted one by
-    one by a 128-bit hash instead, which spreads over all tasks.
+    Snippets of an anchor meet in one shard, or parts of them do, see parts_of(). Anchors of more than `crowded`
+    different snippets could still overload a shard; their windows are counted one by one by a 128-bit hash instead, which
+    spreads over all tasks.
     """
     usual, rest = snippets.where(F.col("c") <= crowded), snippets.where(F.col("c") > crowded)
     size = usual.agg(F.coalesce(F.sum(F.length("snippet")), F.lit(0))).first()[0]
     shards = 1 + size // shard_bytes
-    sorted_ = usual.select("h", "s", "snippet").repartition(int(shards), "h").mapInArrow(_sort_shard, "h long, s long, ranges array<struct<u:int,v:int>>")
+    sorted_ = usual.select("h", "s", "from", "snippet", "key").repartition(int(shards), "key").mapInArrow(_sort_shard, "h long, s long, ranges array<struct<u:int,v:int>>")
     marks = sorted_.select("h", "s", F.explode("ranges").alias("r")).select("h", "s", "r.u", "r.v")
     if rest.isEmpty():
         return marks
@@ -221,7 +242,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("t1"), batch.column("t2"), *columns], ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def removals(docs: DataFrame, crowded: int = CROWDED, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, split: int = SPLIT, crowded: int = CROWDED, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Facts of all rows of docs (doc_id, text), and what is removed from each text that loses bytes.
 
     First table: doc_id, t1, t2, n_bytes, sha per row. Second: t1, t2, n_removed, n_spans, kept_sha256 (of the bytes), kept
@@ -234,14 +255,14 @@ def removals(docs: DataFrame, crowded: int = CROWDED, shard_bytes: int = SHARD_B
     every = facts.select("t1", "t2", F.explode("anchors").alias("x")).select("t1", "t2", "x.*")
     again = materialize(every.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "again")
     met = every.join(again, "h").repartition("t1", "t2", "a", "h")  # so that the join of a hot anchor may be split
-    met = materialize(met.groupBy("t1", "t2", "h", "s", "a", "b", "e").agg(F.sum("n").alias("n")), "met")
-    alike = materialize(met.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "a", "b")).alias("rep")), "snippets")
+    met = materialize(met.groupBy("t1", "t2", "h", "s", "a", "b", "e", "p").agg(F.sum("n").alias("n")), "met")
+    alike = materialize(met.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "a", "b", "p")).alias("rep")), "snippets")
     mixed = materialize(alike.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
     texts = _packed(rows).groupBy("t1", "t2").agg(F.first("z").alias("z")).join(met.select("t1", "t2").distinct(), ["t1", "t2"])
     texts = materialize(texts, "texts")
-    want = alike.join(mixed, "h").select("rep.*", F.struct("h", "s", "c", "rep.a", "rep.b").alias("w"))
+    want = alike.join(mixed, "h").select("rep.*", F.struct("h", "s", "c", "rep.a", "rep.b", "rep.p").alias("w"))
     want = want.groupBy("t1", "t2").agg(F.collect_list("w").alias("want"))  # bounded by the text
-    snippets = materialize(texts.join(want, ["t1", "t2"]).mapInArrow(_cut, "h long, s long, c long, snippet binary"), "cut")
+    snippets = materialize(texts.join(want, ["t1", "t2"]).mapInArrow(partial(_cut, split=split, crowded=crowded), "h long, s long, c long, key long, from int, snippet binary"), "cut")
     marks = materialize(_marks(snippets, crowded, shard_bytes), "marks")
     plain = met.join(materialize(alike.where("n > 1").select("h", "s"), "plain"), ["h", "s"]).select("t1", "t2", "a", F.col("e").alias("b"))
     partly = met.join(marks, ["h", "s"]).select("t1", "t2", (F.col("a") + F.col("u")).alias("a"), (F.col("a") + F.col("v")).alias("b"))

@@ -68,16 +68,18 @@ def test_marks_match_brute_force(spark):
 def test_crowded_anchors_and_small_shards(spark):
     texts = planted()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    facts, gone = S.removals(docs, crowded=2, shard_bytes=2000)
-    found = {r.doc_id: r.n_removed or 0 for r in facts.join(gone, ["t1", "t2"], "left").collect()}
-    assert [found[i] for i in range(len(texts))] == [b[1] for b in brute(texts)]
+    want = [b[1] for b in brute(texts)]
+    for split, crowded in ((1, 1000), (1, 3), (1000, 2)):
+        facts, gone = S.removals(docs, split, crowded, shard_bytes=2000)
+        found = {r.doc_id: r.n_removed or 0 for r in facts.join(gone, ["t1", "t2"], "left").collect()}
+        assert [found[i] for i in range(len(texts))] == want
 
 
 def test_steps_of_long_texts(monkeypatch, spark):
     monkeypatch.setattr(S, "STEP", 700)
     raw = planted()[6].encode() * 3
-    h, s, a, b = S.anchors(raw)
-    assert a[0] == 0 and b[-1] == len(raw) - S.LENGTH + 1 and (a[1:] == b[:-1]).all()
+    _, _, a, _, b, n, _ = S.anchors(raw)
+    assert a[0] == 0 and b[-1] == len(raw) - S.LENGTH + 1 and (a[1:] == b[:-1]).all() and (n > 0).all()
 
 
 def test_sample_documents(spark):
