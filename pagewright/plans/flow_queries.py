@@ -223,7 +223,7 @@ def metadata(spark, d):
     tags = ["title", "creator", "language", "identifier", "subject"]
     rows = table(spark, d, "documents").select(F.expr("doc_id div 50").alias("book"), (F.col("doc_id") % 50).alias("k"), F.element_at(F.array(*map(F.lit, tags)), (F.col("doc_id") % 5 + 1).cast("int")).alias("tag"), F.substring("text", 1, 10).alias("value"))
     rows = rows.where(~F.col("tag").isin("language", "identifier")).withColumn("n", F.row_number().over(Window.partitionBy("book", "tag").orderBy("k")))
-    new = rows.where("k % 2 = 0").select("book", "tag", F.row_number().over(Window.partitionBy("book", "tag").orderBy("k")).alias("n"), F.upper("value").alias("new"))
+    new = rows.where("k % 2 = 0").select("book", "tag", F.row_number().over(Window.partitionBy("book", "tag").orderBy("k")).alias("n"), F.concat(F.lit("*"), "value").alias("new"))
     return rows.join(new, ["book", "tag", "n"], "left").select("book", "tag", F.col("n").cast("long").alias("n"), F.coalesce("new", "value").alias("value"))
 
 
@@ -303,7 +303,7 @@ ORACLE_SQL = {
         y AS (SELECT *, CAST(sum(n) OVER (PARTITION BY book ORDER BY page_index, ord) AS BIGINT) AS run FROM x) SELECT book, run, CAST(sum(cost) AS BIGINT) AS cost, count(*) AS n, max(ends) AS ends_root FROM y GROUP BY book, run""",
     "secret_redaction": """SELECT event_id, regexp_replace(props, '(?i)("(?:[a-z_]*(?:key|token|secret|password|k)[a-z_]*)"\\s*:\\s*)("[^"]*"|[0-9.]+)', '\\1"***"', 'g') AS props FROM events""",
     "metadata_update": """WITH r AS (SELECT doc_id // 50 AS book, doc_id % 50 AS k, list_value('title', 'creator', 'language', 'identifier', 'subject')[doc_id % 5 + 1] AS tag, substr(text, 1, 10) AS value FROM documents),
-        s AS (SELECT *, row_number() OVER (PARTITION BY book, tag ORDER BY k) AS n FROM r WHERE tag NOT IN ('language', 'identifier')), u AS (SELECT book, tag, upper(value) AS new, row_number() OVER (PARTITION BY book, tag ORDER BY k) AS n FROM s WHERE k % 2 = 0)
+        s AS (SELECT *, row_number() OVER (PARTITION BY book, tag ORDER BY k) AS n FROM r WHERE tag NOT IN ('language', 'identifier')), u AS (SELECT book, tag, '*' || value AS new, row_number() OVER (PARTITION BY book, tag ORDER BY k) AS n FROM s WHERE k % 2 = 0)
         SELECT s.book, s.tag, s.n, coalesce(new, value) AS value FROM s LEFT JOIN u ON s.book = u.book AND s.tag = u.tag AND s.n = u.n""",
     "heading_prompt": f"WITH {LAYOUTS_SQL} SELECT book, md5(string_agg('- page ' || page_index || ': ' || title, chr(10) ORDER BY page_index)) AS digest FROM titles GROUP BY book",
 }
