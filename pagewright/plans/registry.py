@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import books, flow_queries, markup_queries, page_queries, parser_queries, stream_queries, text_queries, toc_queries
+from pagewright.plans import books, check_queries, flow_queries, markup_queries, page_queries, parser_queries, stream_queries, text_queries, toc_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (books, text_queries, toc_queries, page_queries, flow_queries, parser_queries, stream_queries, markup_queries):
+for _module in (books, text_queries, toc_queries, page_queries, flow_queries, parser_queries, stream_queries, markup_queries, check_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 
