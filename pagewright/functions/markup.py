@@ -157,3 +157,108 @@ def chunks(costs: list[int], limit: int, head: float = 0.07, tail: float = 0.035
             after += 1
         yield before, start, end, after
         start = end
+
+
+def friendly(root: Element, wide: int = 35) -> str:
+    """XML for a language model: two spaces of indent, short elements on one line, namespaces left out."""
+
+    def write(e: Element, indent: str) -> Iterator[str]:
+        attributes = "".join(f' {plain(k)}="{_escape(v)}"' for k, v in e.attrib.items())
+        name, inner = plain(e.tag), "".join(_inline(x) for x in [e])
+        if not len(e) and not (e.text or "").strip():
+            yield f"{indent}<{name}{attributes}/>"
+        elif len(inner) <= wide or not len(e) or any((x.tail or "").strip() for x in e):
+            yield f"{indent}<{name}{attributes}>{inner}</{name}>"
+        else:
+            yield f"{indent}<{name}{attributes}>"
+            if (e.text or "").strip():
+                yield f"{indent}  {_escape(e.text.strip())}"
+            for child in e:
+                yield from write(child, indent + "  ")
+            yield f"{indent}</{name}>"
+
+    return "\n".join(write(root, ""))
+
+
+def _escape(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+def _inline(e: Element) -> str:
+    out = [_escape(" ".join((e.text or "").split()))]
+    for c in e:
+        attributes = "".join(f' {plain(k)}="{_escape(v)}"' for k, v in c.attrib.items())
+        body = _inline(c)
+        out.append(f"<{plain(c.tag)}{attributes}>{body}</{plain(c.tag)}>" if body else f"<{plain(c.tag)}{attributes}/>")
+        out.append(_escape(re.sub(r"\s+", " ", c.tail or "")))
+    return "".join(out)
+
+
+def from_friendly(text: str) -> list[Element]:
+    """Elements of a model's answer, read leniently: text around them is left out, closing tags without a start are
+    skipped, elements that are not closed end with the one around them.
+    """
+    from .parsers import friendly_tokens
+
+    roots: list[Element] = []
+    stack: list[Element] = []
+    for kind, tag, body in friendly_tokens(text):
+        if kind == "text":
+            if stack:
+                last = stack[-1]
+                body = body.replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&amp;", "&")
+                if len(last):
+                    last[-1].tail = (last[-1].tail or "") + body
+                else:
+                    last.text = (last.text or "") + body
+        elif kind == "closing":
+            if any(e.tag == tag for e in stack):
+                while stack.pop().tag != tag:
+                    pass
+        else:
+            e = Element(tag, dict(re.findall(r"""([\w:.-]+)\s*=\s*["']([^"']*)["']""", body)))
+            (stack[-1].append(e) if stack else roots.append(e))
+            if kind == "opening":
+                stack.append(e)
+    return roots
+
+
+def without_math(root: Element) -> tuple[Element, dict[str, Element]]:
+    """A copy whose math elements are empty placeholders with numbers, and the elements by number, for translation around them."""
+    root, held = copy.deepcopy(root), {}
+    for parent in list(root.iter()):
+        for k, e in enumerate(list(parent)):
+            if plain(e.tag) == "math" and plain(parent.tag) != "math":
+                mark = Element("math", {"id": str(len(held))})
+                held[str(len(held))], mark.tail, e.tail = e, e.tail, None
+                parent[k] = mark
+    return root, held
+
+
+def with_math(root: Element, held: dict[str, Element]) -> Element:
+    """Placeholders back to math; one that was lost stays lost, an unknown one goes."""
+    for parent in list(root.iter()):
+        for k, e in reversed(list(enumerate(parent))):
+            if plain(e.tag) == "math" and not len(e):
+                if e.get("id") in held:
+                    old = copy.deepcopy(held[e.get("id")])
+                    old.tail = e.tail
+                    parent[k] = old
+                else:
+                    parent.remove(e)
+    return root
+
+
+def contents_xml(entries: list[tuple[int, int | None, str]]) -> str:
+    """A contents tree (number, parent, title) as XML, for translation like any other text."""
+    root = Element("toc")
+    made = {None: root}
+    for number, parent, title in entries:
+        item = ElementTree.SubElement(made.get(parent, root), "item", {"id": str(number)})
+        ElementTree.SubElement(item, "title").text = title
+        made[number] = item
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def contents_titles(xml: str) -> dict[int, str]:
+    return {int(e.attrib["id"]): (e.findtext("title") or "").strip() for e in parse(xml).iter("item")}
