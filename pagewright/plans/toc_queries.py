@@ -8,16 +8,14 @@ from pagewright.functions import text as T
 from pagewright.operators import toc
 from pagewright.operators.cluster import cluster, variation
 from pagewright.session import table
-from pagewright.sources.books import LAYOUTS_SQL, bodies, layouts, titles
+from pagewright.sources.books import LAYOUTS_SQL, bodies, layouts, pages, titles
 
 from .text_queries import sql_title_key
 
 
 def detect(spark, d):
     """Q01 with P08, J06, G07, G08, T01, T02, W12: contents pages of each book."""
-    rows = layouts(spark, d)
-    pages = bodies(rows)
-    found = toc.contents_pages(toc.page_scores(pages, toc.title_matches(titles(rows), pages)))
+    found = toc.contents_pages(toc.page_scores(pages(spark, d)))
     return found.select("book", "page_index", F.round("score", 6).alias("score"))
 
 

@@ -54,3 +54,13 @@ def bodies(rows: DataFrame) -> DataFrame:
     pages = pages.select("book", "page_index", F.array_join(F.col("x.text"), " ").alias("body"))
     contents = titles(rows).groupBy("book").agg(F.sort_array(F.collect_list(F.struct("page_index", "title"))).alias("x"))
     return pages.union(contents.select("book", F.lit(1).cast("long").alias("page_index"), F.array_join(F.col("x.title"), " ").alias("body")))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, page_index, titles, body of all pages, contents pages included; one scan and one shuffle by book."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    page = F.struct((F.col("doc_id") % PAGES_PER_BOOK + 2).alias("page_index"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"), F.translate("text", "\n", " ").alias("body"))
+    books = docs.groupBy(F.expr(f"doc_id div {PAGES_PER_BOOK}").alias("book")).agg(F.sort_array(F.collect_list(page)).alias("p"))
+    contents = F.struct(F.lit(1).cast("long").alias("page_index"), F.lit(None).cast("string").alias("title"), F.array_join("p.title", " ").alias("body"))
+    every = books.select("book", F.explode(F.concat(F.array(contents), "p")).alias("p"))
+    return every.select("book", "p.page_index", F.array_compact(F.array("p.title")).alias("titles"), "p.body")
