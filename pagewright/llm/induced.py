@@ -90,21 +90,20 @@ def _least_between(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values[: ends[-1] + 1], starts)
 
 
-def _types(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is of type S; the end of the text is smaller than all symbols."""
+def _run_ends(text: np.ndarray) -> np.ndarray:
+    """The last position of the run of equal symbols that each position is in."""
     n = len(text)
-    rises, differs = np.zeros(n, bool), np.ones(n, bool)
-    rises[:-1] = text[:-1] < text[1:]
-    differs[:-1] = text[:-1] != text[1:]
-    where = np.flatnonzero(differs)
-    return rises[where[np.searchsorted(where, np.arange(n))]] if n else rises
+    kind = np.int32 if n < 1 << 31 else np.int64
+    ends = np.full(n, n - 1, kind)
+    ends[:-1] = np.where(text[:-1] != text[1:], np.arange(n - 1, dtype=kind), n - 1)
+    return np.minimum.accumulate(ends[::-1])[::-1]
 
 
-def _runs(text: np.ndarray) -> np.ndarray:
-    """How often the symbol of each position repeats from there on."""
-    n = len(text)
-    last = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    return (last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1).astype(np.int32)
+def _types(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each suffix is of type S; the end of the text is smaller than all symbols."""
+    rises = np.zeros(len(text), bool)
+    rises[:-1] = text[:-1] < text[1:]
+    return rises[ends]
 
 
 def _starts_of_ties(new: np.ndarray) -> np.ndarray:
@@ -211,8 +210,8 @@ def suffixes(text: np.ndarray, depth: int, store: Store | None = None) -> Iterat
     store = store or Store()
     text = text.astype(np.int64) if text.dtype.itemsize > 4 else text
     n, symbols = len(text), int(text.max(initial=0)) + 1
-    small = _types(text)
-    runs = _runs(text)
+    ends = _run_ends(text)
+    small = _types(text, ends)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     order, shared = _sorted_lms(text, small, lms, depth, store)
     cap = np.int32(depth)
@@ -228,7 +227,7 @@ def suffixes(text: np.ndarray, depth: int, store: Store | None = None) -> Iterat
         seeds, between = order[cuts[c] : cuts[c + 1]], shared[cuts[c] : cuts[c + 1]].copy()
         larger[c] = (position, prefix)
         if len(position) and len(seeds):
-            between[0] = min(runs[position[-1]], runs[seeds[0]])
+            between[0] = min(ends[p] - p + 1 for p in (position[-1], seeds[0]))
         _deal(text, small, c, False, np.concatenate([position, seeds]), np.concatenate([prefix, np.minimum(between, cap)]), ascending, cap)
     descending = Queues(symbols, store)
     for c in range(symbols - 1, -1, -1):
@@ -238,7 +237,7 @@ def suffixes(text: np.ndarray, depth: int, store: Store | None = None) -> Iterat
         larger[c] = None
         down = np.concatenate([[0], up[:0:-1]]).astype(np.int32) if len(position) else up
         if len(back) and len(position):
-            down[0] = min(runs[back[-1]], runs[position[-1]])
+            down[0] = min(ends[p] - p + 1 for p in (back[-1], position[-1]))
         every, between = np.concatenate([back, position[::-1]]), np.concatenate([prefix, down])
         _deal(text, small, c, True, every, between, descending, cap)
         if len(every):

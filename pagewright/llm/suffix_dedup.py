@@ -25,7 +25,7 @@ from .induced import Store, suffixes
 
 LENGTH = 400
 GRAM = 160
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SPLIT = 256
 PARTS = 8
 CROWDED = 20_000
@@ -227,7 +227,7 @@ def _marks(snippets: DataFrame, crowded: int, shard_bytes: int) -> DataFrame:
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Applies the window ranges of each text: removed bytes, spans, kept bytes."""
-    for batch in batches:
+    for batch in text_batches(batches, text="z"):
         rows = []
         for i, raw in _unpacked(batch):
             cover = np.zeros(len(raw) + 1, np.int64)
