@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -175,8 +176,16 @@ def learn(rows: list[tuple[int, str, int]], prior: float = 0.0) -> tuple[dict[st
 
     Both labels weigh the same in training; prior, the true log odds, is added to the calibrated ones.
     """
-    split = [t.split() for _, t, _ in rows]
-    cores, forms = context_vectors([[core_of(w) for w in s] for s in split]), context_vectors([[form_of(w) for w in s] for s in split])
+    known: dict[str, tuple[str, str]] = {}  # so that equal words share their strings
+    streams: tuple[list[list[str]], list[list[str]]] = ([], [])
+    for _, t, _ in rows:
+        words = t.split()
+        known.update({w: (sys.intern(core_of(w)), sys.intern(form_of(w))) for w in words if w not in known})
+        for k in (0, 1):
+            streams[k].append([known[w][k] for w in words])
+    del known
+    cores, forms = context_vectors(streams[0]), context_vectors(streams[1])
+    del streams
     pooler = Pooler(cores, forms)
     x = np.concatenate([pooler.features([t]) for _, t, _ in rows] or [np.zeros((0, 2 * DIM + 5))])
     y = np.array([q for _, _, q in rows], float)
