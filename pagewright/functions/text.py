@@ -40,14 +40,23 @@ def latin_fold() -> tuple[str, str]:
 PUNCTUATION = r"[\p{P}\^`|~&&[^\x{2018}\x{2019}\x{201c}\x{201d}]]"
 
 
+#: The characters of SPACE but the plain space, for translate().
+ODD_SPACES = "".join(map(chr, (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def squeeze(c: Column) -> Column:
+    """White space to single spaces; a translation and a short pattern cost half of one pattern over the whole class."""
+    return F.regexp_replace(F.translate(c, ODD_SPACES, " " * len(ODD_SPACES)), " {2,}", " ")
+
+
 def collapse(c: Column) -> Column:
     """White space to single spaces, ends trimmed."""
-    return F.btrim(F.regexp_replace(c, f"[{SPACE}]+", " "), F.lit(" "))
+    return F.btrim(squeeze(c), F.lit(" "))
 
 
 def blank_to_null(c: Column) -> Column:
     """White space to single spaces, untrimmed; null if nothing else is there."""
-    squeezed = F.regexp_replace(c, f"[{SPACE}]+", " ")
+    squeezed = squeeze(c)
     return F.when(F.btrim(squeezed, F.lit(" ")) != "", squeezed)
 
 
@@ -63,7 +72,7 @@ def strip_contents_heading(c: Column) -> Column:
 
 def title_key(c: Column) -> Column:
     """Canonical text of a title: spaces only between Latin letters, no punctuation, Latin letters folded."""
-    x = F.regexp_replace(collapse(c), f"(?<![{LATIN}]) | (?![{LATIN}])", "")
+    x = F.regexp_replace(collapse(c), f" (?:(?<![{LATIN}] )|(?![{LATIN}]))", "")
     return F.translate(F.regexp_replace(x, PUNCTUATION, ""), *latin_fold())
 
 
