@@ -252,10 +252,11 @@ def removals(docs: DataFrame, split: int = SPLIT, crowded: int = CROWDED, shard_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *text_key())
     facts = materialize(_scan(rows), "facts")
-    every = facts.select("t1", "t2", F.explode("anchors").alias("x")).select("t1", "t2", "x.*")
-    again = materialize(every.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "again")
-    met = every.join(again, "h").repartition("t1", "t2", "a", "h")  # so that the join of a hot anchor may be split
-    met = materialize(met.groupBy("t1", "t2", "h", "s", "a", "b", "e", "p").agg(F.sum("n").alias("n")), "met")
+    # copies of a text are combined before the shuffle, so a text that a third of all rows hold is one row from here on
+    different = materialize(facts.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors")), "different")
+    every = different.select("t1", "t2", "copies", F.explode("anchors").alias("x")).select("t1", "t2", "x.*", "copies").withColumn("n", F.col("n") * F.col("copies")).drop("copies")
+    again = materialize(every.groupBy("h").agg(F.sum("n").alias("m")).where("m > 1").select("h"), "again")
+    met = materialize(every.join(again, "h"), "met")
     alike = materialize(met.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "a", "b", "p")).alias("rep")), "snippets")
     mixed = materialize(alike.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
     texts = _packed(rows).groupBy("t1", "t2").agg(F.first("z").alias("z")).join(met.select("t1", "t2").distinct(), ["t1", "t2"])
