@@ -145,13 +145,15 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(whole, "fp").select("doc_id", "th", "fp", "component", "component_id")
 
 
-def first_of_groups(docs: DataFrame, width: int = 3) -> DataFrame:
+def first_of_groups(docs: DataFrame, width: int = 3, found: DataFrame | None = None) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id, all columns kept.
 
+    Groups are those of near_duplicates(), or `found` with columns doc_id, th, component, component_id.
+
     Of several rows with that id one is chosen by the hash of its text; exact repeats of it leave one row. A group with null
     ids only keeps one row too.
     """
-    found = near_duplicates(docs, width)
+    found = near_duplicates(docs, width) if found is None else found
     named = found.where(F.col("doc_id").isNotNull() | F.col("component_id").isNull())
     chosen = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("c")).select(F.col("c.doc_id").alias("_id"), F.col("c.th").alias("_th"))
     chosen = materialize(chosen, "chosen")
