@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -23,6 +24,11 @@ WIDE_AFTER_HAN = {",": "，", ";": "；", "?": "？", "!": "！"}
 QUOTES = ("‹›〈〉«»《》", "«»《》")
 
 
+def python_class(members: str) -> str:
+    """A character class of this module as Python's re writes it."""
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), members)
+
+
 def latin_fold() -> tuple[str, str]:
     """Latin letters that change when lower-cased and stripped of accents, and what they become, for translate()."""
     source, target = [], []

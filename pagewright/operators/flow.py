@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .walk import Step, walk
+
 # Title levels an answer may give, the largest jump between neighbours, and the last level kept.
 LEVEL_RANGE, LEVEL_JUMP, LAST_LEVEL = (-1, 5), 2, 3
 
@@ -16,29 +18,38 @@ def estimate_tokens(c: Column) -> Column:
 def pack(rows: DataFrame, keys: list[str], order: str, cost: str, limit: int) -> DataFrame:
     """keys, order, pack of rows: consecutive rows share a pack, numbered from 0, as long as their costs stay within the limit.
 
-    Where a pack ends depends on all before it, so a sequence is walked once, as an array of two numbers per row.
+    Where a pack ends depends on all before it, so a sequence is walked once, with two running numbers.
     """
-    start = F.expr("named_struct('held', CAST(0 AS BIGINT), 'pack', CAST(-1 AS BIGINT), 'done', CAST(array() AS ARRAY<STRUCT<o: BIGINT, pack: BIGINT>>))")
 
-    def step(acc, x):
-        fits = (acc["pack"] >= 0) & (acc["held"] + x["c"] <= limit)
-        number = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
-        row = F.struct(x["o"].alias("o"), number.alias("pack"))
-        return F.struct(F.when(fits, acc["held"] + x["c"]).otherwise(x["c"]).alias("held"), number.alias("pack"), F.concat(acc["done"], F.array(row)).alias("done"))
+    def make() -> Step:
+        held, number = 0, -1
+
+        def step(row: tuple | None) -> list[tuple]:
+            nonlocal held, number
+            if row is None:
+                return []
+            at, own = row
+            fits = number >= 0 and own is not None and held + own <= limit
+            held, number = (held + own, number) if fits else (own or 0, number + 1)
+            return [(at, number)]
+
+        return step
 
-    x = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c"))))
-    out = rows.groupBy(*keys).agg(x.alias("x")).select(*keys, F.explode(F.aggregate("x", start, step, lambda a: a["done"])).alias("p"))
-    return out.select(*keys, F.col("p.o").alias(order), F.col("p.pack").alias("pack"))
+    x = rows.select(*keys, F.col(order).cast("long").alias(order), F.col(cost).cast("long").alias("_cost"))
+    return walk(x, keys, [order, "_cost"], make, f"{order} long, pack long")
 
 
 def context(rows: DataFrame, keys: list[str], order: str, cost: str, remain: int) -> DataFrame:
-    """Adds context: how many rows right before each row fit into `remain` tokens."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    x = rows.withColumn("_sum", F.sum(cost).over(w))
-    back = F.collect_list("_sum").over(w.rowsBetween(-64, -1))  # rows cost one token at least
-    before = F.filter(back, lambda s: F.col("_sum") - F.col(cost) - s < remain)
-    first = F.element_at(F.concat(F.array(F.lit(0).cast("long")), back), -1)
-    return x.withColumn("context", F.when(first.isNull(), 0).otherwise(F.size(before))).drop("_sum")
+    """Adds context: how many rows right before each row fit into `remain` tokens, the one that crosses it included.
+
+    Rows cost one token at least. The rows in reach are those whose costs before them lie within `remain` of the row's own, so a
+    range over the running sum holds them, however many there are.
+    """
+    own = F.greatest(F.col(cost).cast("long"), F.lit(1).cast("long"))
+    x = rows.withColumn("_before", F.coalesce(F.sum(own).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    reach = F.count("*").over(Window.partitionBy(*keys).orderBy("_before").rangeBetween(1 - remain, 0))
+    # the range holds the row itself in place of the one before it, and the first row, which stands for none
+    return x.withColumn("context", (reach - F.when(F.col("_before") < remain, 1).otherwise(0)).cast("int")).drop("_before")
 
 
 def without_margins(parts: Column, head: Column, tail: Column) -> Column:

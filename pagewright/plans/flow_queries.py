@@ -20,16 +20,17 @@ def packs(spark, d):
 
 
 def contexts(spark, d):
-    """How many earlier messages fit into the context."""
-    rows = _talk(spark, d).select("conv_id", "turn", F.greatest(flow.estimate_tokens(F.col("text")), F.lit(1)).alias("cost"))
-    return flow.context(rows, ["conv_id"], "turn", "cost", 100).select("conv_id", "turn", F.col("context").cast("long").alias("context"))
+    """How many earlier lines of a book fit into the context of each line."""
+    line = F.row_number().over(Window.partitionBy("book").orderBy("page_index", "ord"))
+    rows = layouts(spark, d).select("book", line.cast("long").alias("line"), F.greatest(flow.estimate_tokens(F.col("text")), F.lit(1)).alias("cost"))
+    return flow.context(rows, ["book"], "line", "cost", 2600).select("book", "line", F.col("context").cast("long").alias("context"))
 
 
 def unpadded(spark, d):
-    """Context cut off again."""
-    words = F.split(F.substring_index("text", "\n", 1), " ")
+    """Context cut off again, by digest."""
+    words = F.split("text", " ")
     head, tail = (F.col("doc_id") % 3).cast("int"), (F.col("doc_id") % 2).cast("int")
-    return table(spark, d, "documents").select("doc_id", F.array_join(flow.without_margins(words, head, tail), " ").alias("middle"))
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(flow.without_margins(words, head, tail), " ")).alias("middle"))
 
 
 def history(spark, d):
@@ -40,7 +41,7 @@ def history(spark, d):
 
 def climb(spark, d):
     """Q08: best attempt of each conversation, where the weight is made of text length."""
-    rows = _talk(spark, d).select("conv_id", F.col("turn").alias("attempt"), (F.length("text") % 5).cast("long").alias("weight"), F.substring("text", 1, 10).alias("response"))
+    rows = _talk(spark, d).select("conv_id", F.col("turn").alias("attempt"), (F.length("text") % 5).cast("long").alias("weight"), F.col("text").alias("response"))
     return flow.best_attempts(rows, ["conv_id"])
 
 
@@ -101,7 +102,7 @@ def fallback(spark, d):
     """Pages with an image of the whole page in place of a result that failed."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality").distinct(), "doc_id", "left")
     failed = F.coalesce(F.col("quality") == 0, F.lit(False))
-    return rows.select("doc_id", F.when(failed, "image").otherwise("text").alias("ref"), F.when(failed, F.lit("[page failed]")).otherwise(F.substring("text", 1, 20)).alias("text"))
+    return rows.select("doc_id", F.when(failed, "image").otherwise("text").alias("ref"), F.when(failed, F.lit("[page failed]")).otherwise(F.col("text")).alias("text"))
 
 
 def sizes(spark, d):
@@ -137,8 +138,8 @@ def spine(spark, d):
 
 def _entries(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(F.expr("doc_id div 50").alias("book"), (F.col("doc_id") % 50).alias("k"))
-    entries = docs.where("k < 20").select("book", F.col("k").alias("entry"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("id"), F.col("k"))).alias("id"), F.concat(F.lit("c"), (F.col("k") % 10).cast("string")).alias("href"))
-    elements = docs.where("k < 25").select("book", F.col("k").alias("element"), F.when(F.col("k") % 6 == 0, F.concat(F.lit("id"), F.col("k"))).alias("id"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("c"), (F.col("k") % 10).cast("string"))).alias("href"))
+    entries = docs.select("book", F.col("k").alias("entry"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("id"), F.col("k"))).alias("id"), F.concat(F.lit("c"), (F.col("k") % 10).cast("string")).alias("href"))
+    elements = docs.select("book", F.col("k").alias("element"), F.when(F.col("k") % 6 == 0, F.concat(F.lit("id"), F.col("k"))).alias("id"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("c"), (F.col("k") % 10).cast("string"))).alias("href"))
     return entries, elements
 
 
@@ -196,7 +197,7 @@ def inline_ids(spark, d):
 
 def blocks(spark, d):
     """Blocks expected and returned: lost, unexpected, or with another tag."""
-    rows = layouts(spark, d).where("ord < 6").select("book", "page_index", F.col("ord").alias("id"), F.when(F.col("ord") % 2 == 0, "p").otherwise("h1").alias("tag"))
+    rows = layouts(spark, d).select("book", "page_index", F.col("ord").alias("id"), F.when(F.col("ord") % 2 == 0, "p").otherwise("h1").alias("tag"))
     got = rows.where("(page_index + id) % 4 <> 0").select("book", "page_index", (F.col("id") + F.when(F.col("page_index") % 5 == 0, 1).otherwise(0)).alias("id"), F.col("tag").alias("got"))
     x = rows.join(got, ["book", "page_index", "id"], "full_outer")
     error = F.when(F.col("got").isNull(), "expected").when(F.col("tag").isNull(), "unexpected").when(F.col("tag") != F.col("got"), "tag")
@@ -221,7 +222,7 @@ def redacted(spark, d):
 def metadata(spark, d):
     """Metadata fields updated by position within their tag, technical ones left out."""
     tags = ["title", "creator", "language", "identifier", "subject"]
-    rows = table(spark, d, "documents").select(F.expr("doc_id div 50").alias("book"), (F.col("doc_id") % 50).alias("k"), F.element_at(F.array(*map(F.lit, tags)), (F.col("doc_id") % 5 + 1).cast("int")).alias("tag"), F.substring("text", 1, 10).alias("value"))
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 50").alias("book"), (F.col("doc_id") % 50).alias("k"), F.element_at(F.array(*map(F.lit, tags)), (F.col("doc_id") % 5 + 1).cast("int")).alias("tag"), F.col("text").alias("value"))
     rows = rows.where(~F.col("tag").isin("language", "identifier")).withColumn("n", F.row_number().over(Window.partitionBy("book", "tag").orderBy("k")))
     new = rows.where("k % 2 = 0").select("book", "tag", F.row_number().over(Window.partitionBy("book", "tag").orderBy("k")).alias("n"), F.concat(F.lit("*"), "value").alias("new"))
     return rows.join(new, ["book", "tag", "n"], "left").select("book", "tag", F.col("n").cast("long").alias("n"), F.coalesce("new", "value").alias("value"))
@@ -250,12 +251,13 @@ ORACLE_SQL = {
         p AS (SELECT conv_id, turn, k, cost AS held, CAST(0 AS BIGINT) AS pack FROM n WHERE k = 1 UNION ALL
         SELECT n.conv_id, n.turn, n.k, CASE WHEN p.held + n.cost <= 200 THEN p.held + n.cost ELSE n.cost END, p.pack + CASE WHEN p.held + n.cost <= 200 THEN 0 ELSE 1 END FROM p JOIN n ON n.conv_id = p.conv_id AND n.k = p.k + 1)
         SELECT conv_id, turn, pack FROM p""",
-    "context_trim": f"""WITH t AS ({_TALK}), u AS (SELECT conv_id, turn, greatest(cost, 1) AS cost FROM t), s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM u)
-        SELECT a.conv_id, a.turn, (SELECT count(*) FROM s b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND a.c - a.cost - b.c < 100) AS context FROM s a""",
-    "chunk_unpad": """WITH x AS (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') AS w FROM documents)
-        SELECT doc_id, coalesce(array_to_string(w[doc_id % 3 + 1 : len(w) - doc_id % 2], ' '), '') AS middle FROM x""",
+    "context_trim": f"""WITH {LAYOUTS_SQL}, u AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY page_index, ord) AS line, greatest(CAST(ceil(length(text) / 4.0) AS BIGINT), 1) AS cost FROM layouts),
+        s AS (SELECT *, sum(cost) OVER (PARTITION BY book ORDER BY line) AS c FROM u)
+        SELECT a.book, a.line, count(b.line) AS context FROM s a LEFT JOIN s b ON b.book = a.book AND b.line < a.line AND a.c - a.cost - b.c < 2600 GROUP BY a.book, a.line""",
+    "chunk_unpad": """WITH x AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+        SELECT doc_id, CASE WHEN w IS NOT NULL THEN md5(coalesce(array_to_string(w[doc_id % 3 + 1 : len(w) - doc_id % 2], ' '), '')) END AS middle FROM x""",
     "retry_tail": f"""WITH t AS ({_TALK}), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS n FROM t) SELECT conv_id, string_agg(turn || ':' || role, ' ' ORDER BY turn, role) AS tail FROM r WHERE n <= 2 GROUP BY conv_id""",
-    "hill_climb_best": f"""WITH t AS ({_TALK}), r AS (SELECT conv_id, turn AS attempt, CAST(length(text) % 5 AS BIGINT) AS weight, substr(text, 1, 10) AS response FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight, attempt) AS n FROM r)
+    "hill_climb_best": f"""WITH t AS ({_TALK}), r AS (SELECT conv_id, turn AS attempt, CAST(length(text) % 5 AS BIGINT) AS weight, text AS response FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight, attempt) AS n FROM r)
         SELECT conv_id, attempt, weight, response FROM q WHERE n = 1""",
     "id_diff": """WITH x AS (SELECT doc_id, range(0, doc_id % 7 + 1) AS want, range(doc_id % 3, doc_id % 3 + doc_id % 5 + 1) AS got FROM documents)
         SELECT doc_id, array_to_string(list_filter(want, lambda v: NOT list_contains(got, v)), ',') AS missing, array_to_string(list_filter(got, lambda v: NOT list_contains(want, v)), ',') AS unexpected FROM x""",
@@ -268,15 +270,15 @@ ORACLE_SQL = {
     "token_budget_cut": """WITH x AS (SELECT user_id, event_id, CAST(coalesce(sum(floor(value) + event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM events)
         SELECT * FROM x WHERE spent_before < 300""",
     "resume_antijoin": "SELECT doc_id // 50 AS book, doc_id % 50 + 2 AS page_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    "fallback_rows": """SELECT doc_id, CASE WHEN coalesce(quality = 0, false) THEN 'image' ELSE 'text' END AS ref, CASE WHEN coalesce(quality = 0, false) THEN '[page failed]' ELSE substr(text, 1, 20) END AS text
+    "fallback_rows": """SELECT doc_id, CASE WHEN coalesce(quality = 0, false) THEN 'image' ELSE 'text' END AS ref, CASE WHEN coalesce(quality = 0, false) THEN '[page failed]' ELSE text END AS text
         FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id)""",
     "size_map_merge": "SELECT doc_id, n_chars % 100 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS w, n_chars % 90 AS h FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0",
     "geometry_coverage": f"WITH {LAYOUTS_SQL} SELECT DISTINCT book, page_index FROM layouts WHERE ord = 0 AND (doc_id % 7 = 0 OR b - t - 30 <= 0)",
     "progress_weights": f"""WITH {LAYOUTS_SQL}, n AS (SELECT book, page_index, sum(length(text)) AS n FROM layouts GROUP BY ALL)
         SELECT book, page_index, round(CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * sum(n) OVER (PARTITION BY book ORDER BY page_index) / sum(n) OVER (PARTITION BY book), 6) AS done FROM n""",
     "epub_spine": "SELECT page_id // 100 AS book, 99 - page_id % 100 AS place, split_part(url, '#', 1) AS href, split_part(url, '#', 2) AS fragment FROM pages WHERE page_id % 4 <> 1 AND page_id % 3 <> 1",
-    "toc_three_pass_match": """WITH docs AS (SELECT doc_id // 50 AS book, doc_id % 50 AS k FROM documents), en AS (SELECT book, k AS entry, CASE WHEN k % 3 = 0 THEN 'id' || k END AS id, 'c' || k % 10 AS href FROM docs WHERE k < 20),
-        el AS (SELECT book, k AS element, CASE WHEN k % 6 = 0 THEN 'id' || k END AS id, CASE WHEN k % 2 = 0 THEN 'c' || k % 10 END AS href FROM docs WHERE k < 25),
+    "toc_three_pass_match": """WITH docs AS (SELECT doc_id // 50 AS book, doc_id % 50 AS k FROM documents), en AS (SELECT book, k AS entry, CASE WHEN k % 3 = 0 THEN 'id' || k END AS id, 'c' || k % 10 AS href FROM docs),
+        el AS (SELECT book, k AS element, CASE WHEN k % 6 = 0 THEN 'id' || k END AS id, CASE WHEN k % 2 = 0 THEN 'c' || k % 10 END AS href FROM docs),
         p1 AS (SELECT book, entry, element FROM en JOIN el USING (book, id)),
         e2 AS (SELECT *, row_number() OVER (PARTITION BY book, href ORDER BY entry) AS n FROM en WHERE (book, entry) NOT IN (SELECT (book, entry) FROM p1)),
         l2 AS (SELECT *, row_number() OVER (PARTITION BY book, href ORDER BY element) AS n FROM el WHERE href IS NOT NULL AND (book, element) NOT IN (SELECT (book, element) FROM p1)),
@@ -295,14 +297,14 @@ ORACLE_SQL = {
         SELECT book, page_index, ord, common, CASE WHEN common >= 2 THEN 3 - common ELSE (2 - common) * 3 + 1 END AS incision FROM y""",
     "inline_ids": f"""WITH {LAYOUTS_SQL}, x AS (SELECT book, page_index, ord, ord % 2 AS tag, ord % 3 AS p FROM layouts), y AS (SELECT *, min(p) OVER w <> max(p) OVER w AS differ FROM x WINDOW w AS (PARTITION BY book, page_index, tag))
         SELECT book, page_index, ord, CASE WHEN differ THEN CAST(sum(CAST(differ AS INT)) OVER (PARTITION BY book, page_index ORDER BY ord) AS BIGINT) END AS id FROM y""",
-    "block_validation": f"""WITH {LAYOUTS_SQL}, w AS (SELECT book, page_index, ord AS id, CASE WHEN ord % 2 = 0 THEN 'p' ELSE 'h1' END AS tag FROM layouts WHERE ord < 6),
+    "block_validation": f"""WITH {LAYOUTS_SQL}, w AS (SELECT book, page_index, ord AS id, CASE WHEN ord % 2 = 0 THEN 'p' ELSE 'h1' END AS tag FROM layouts),
         g AS (SELECT book, page_index, id + CASE WHEN page_index % 5 = 0 THEN 1 ELSE 0 END AS id, tag AS got FROM w WHERE (page_index + id) % 4 <> 0),
         x AS (SELECT coalesce(w.book, g.book) AS book, coalesce(w.page_index, g.page_index) AS page_index, coalesce(w.id, g.id) AS id, CASE WHEN got IS NULL THEN 'expected' WHEN tag IS NULL THEN 'unexpected' WHEN tag <> got THEN 'tag' END AS error
         FROM w FULL JOIN g ON w.book = g.book AND w.page_index = g.page_index AND w.id = g.id) SELECT * FROM x WHERE error IS NOT NULL""",
     "inline_groups": f"""WITH {LAYOUTS_SQL}, x AS (SELECT book, page_index, ord, length(text) AS cost, CASE WHEN lag(page_index) OVER w = page_index AND lag(ord // 3) OVER w = ord // 3 THEN 0 ELSE 1 END AS n, coalesce(lead(page_index) OVER w <> page_index, true) AS ends FROM layouts WINDOW w AS (PARTITION BY book ORDER BY page_index, ord)),
         y AS (SELECT *, CAST(sum(n) OVER (PARTITION BY book ORDER BY page_index, ord) AS BIGINT) AS run FROM x) SELECT book, run, CAST(sum(cost) AS BIGINT) AS cost, count(*) AS n, max(ends) AS ends_root FROM y GROUP BY book, run""",
     "secret_redaction": """SELECT event_id, regexp_replace(props, '(?i)("(?:[a-z_]*(?:key|token|secret|password|k)[a-z_]*)"\\s*:\\s*)("[^"]*"|[0-9.]+)', '\\1"***"', 'g') AS props FROM events""",
-    "metadata_update": """WITH r AS (SELECT doc_id // 50 AS book, doc_id % 50 AS k, list_value('title', 'creator', 'language', 'identifier', 'subject')[doc_id % 5 + 1] AS tag, substr(text, 1, 10) AS value FROM documents),
+    "metadata_update": """WITH r AS (SELECT doc_id // 50 AS book, doc_id % 50 AS k, list_value('title', 'creator', 'language', 'identifier', 'subject')[doc_id % 5 + 1] AS tag, text AS value FROM documents),
         s AS (SELECT *, row_number() OVER (PARTITION BY book, tag ORDER BY k) AS n FROM r WHERE tag NOT IN ('language', 'identifier')), u AS (SELECT book, tag, '*' || value AS new, row_number() OVER (PARTITION BY book, tag ORDER BY k) AS n FROM s WHERE k % 2 = 0)
         SELECT s.book, s.tag, s.n, coalesce(new, value) AS value FROM s LEFT JOIN u ON s.book = u.book AND s.tag = u.tag AND s.n = u.n""",
     "heading_prompt": f"WITH {LAYOUTS_SQL} SELECT book, md5(string_agg('- page ' || page_index || ': ' || title, chr(10) ORDER BY page_index)) AS digest FROM titles GROUP BY book",

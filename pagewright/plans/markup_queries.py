@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.functions import markup
+from pagewright.functions import markup, text as T
 from pagewright.operators import translate
 from pagewright.session import table
 
 
 def _xhtml(spark, d):
-    xml = F.concat(F.lit('<div id="d"><h1 id="d">'), F.col("source"), F.lit("</h1><p>"), F.col("lang"), F.lit(" <b>bold</b> tail &nbsp;</p></div>"))
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(F.lit('<div id="d"><h1 id="d">'), F.col("source"), F.lit("</h1><p>"), text, F.lit("<b>bold</b>"), text, F.lit(" &nbsp;</p></div>"))
     return table(spark, d, "documents").select("doc_id", xml.alias("xml"))
 
 
 def segmented(spark, d):
     """Text segments with their paths."""
     rows = translate.segment_rows(_xhtml(spark, d), "doc_id", "xml")
-    return rows.select("doc_id", "seg", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), F.col("block").cast("long").alias("block"), "tail", F.trim("text").alias("text"))
+    return rows.select("doc_id", "seg", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), F.col("block").cast("long").alias("block"), "tail", F.md5(F.btrim("text", F.lit(" "))).alias("digest"))
 
 
 def _shout():
@@ -26,25 +27,33 @@ def _shout():
 
 def replaced(spark, d):
     """Documents translated in place."""
-    return translate.translate_documents(_xhtml(spark, d), "doc_id", "xml", _shout)
+    return translate.translate_documents(_xhtml(spark, d), "doc_id", "xml", _shout).select("doc_id", F.md5("xml").alias("digest"))
 
 
 def appended(spark, d):
     """Q11: translated blocks after the originals."""
-    return translate.translate_documents(_xhtml(spark, d), "doc_id", "xml", _shout, markup.APPEND_BLOCK)
+    return translate.translate_documents(_xhtml(spark, d), "doc_id", "xml", _shout, markup.APPEND_BLOCK).select("doc_id", F.md5("xml").alias("digest"))
 
 
 def cached(spark, d):
-    """request keys: as many as there are different messages."""
+    """requests with the same key, and whether their messages are the same: one row for each key."""
+    rows = table(spark, d, "conversations").where("role IS NOT NULL AND text IS NOT NULL")
     key = translate.cache_key("m", "u", F.array(F.col("role"), F.col("text")), 0.5, 0.9)
-    return table(spark, d, "conversations").select(key.alias("k")).agg(F.count_distinct("k").alias("n_keys"))
+    found = rows.withColumn("k", key).groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("conv_id", "turn")).alias("first"), F.max(F.md5(F.concat_ws("|", "role", "text"))).alias("digest"), F.max(F.length("k")).alias("key_chars"))
+    return found.select("first.*", "n", "digest", F.col("key_chars").cast("long").alias("key_chars"))
 
 
 QUERIES = {"html_text_segments": segmented, "xml_translate_replace": replaced, "xml_translate_append": appended, "llm_cache_keys": cached}
+# a segment as the translator gives it back: blank segments are none, white space is squeezed
+_SQUEEZED = f"SELECT doc_id, source, text, regexp_replace(text, '[{T.SPACE}]+', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"
+_ESCAPE = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_SAID = f"'&lt;' || {_ESCAPE.format("trim(x, ' ')")} || '&gt;'"
 ORACLE_SQL = {
-    "html_text_segments": """SELECT doc_id, CAST(0 AS BIGINT) AS seg, '0' AS path, CAST(2 AS BIGINT) AS block, false AS tail, source AS text FROM documents UNION ALL SELECT doc_id, 1, '1', 2, false, lang FROM documents
-        UNION ALL SELECT doc_id, 2, '1/0', 2, false, 'bold' FROM documents UNION ALL SELECT doc_id, 3, '1/0', 2, true, 'tail' FROM documents""",
-    "xml_translate_replace": """SELECT doc_id, '<div id="d"><h1 id="d__translated">&lt;' || source || '&gt;</h1><p>&lt;' || lang || '&gt;<b>&lt;bold&gt;</b>&lt;tail&gt;</p></div>' AS xml FROM documents""",
-    "xml_translate_append": """SELECT doc_id, '<div id="d"><h1 id="d__translated">' || source || '</h1><h1 id="d__translated_2">&lt;' || source || '&gt;</h1><p>' || lang || ' <b>bold</b> tail ' || chr(160) || '</p><p>&lt;' || lang || '&gt;<b>&lt;bold&gt;</b>&lt;tail&gt;</p></div>' AS xml FROM documents""",
-    "llm_cache_keys": "SELECT count(DISTINCT (role, text)) AS n_keys FROM conversations",
+    "html_text_segments": f"""WITH x AS ({_SQUEEZED}), s AS (SELECT doc_id, 0 AS k, '0' AS path, false AS tail, source AS t FROM x UNION ALL SELECT doc_id, 1, '1', false, x FROM x UNION ALL SELECT doc_id, 2, '1/0', false, 'bold' FROM x UNION ALL SELECT doc_id, 3, '1/0', true, x || ' ' FROM x)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seg, path, CAST(2 AS BIGINT) AS block, tail, md5(trim(t, ' ')) AS digest FROM s WHERE trim(t, ' ') <> ''""",
+    "xml_translate_replace": f"""WITH x AS ({_SQUEEZED}), y AS (SELECT *, trim(x, ' ') = '' AS blank, {_SAID} AS said, {_ESCAPE.format("text")} AS own FROM x)
+        SELECT doc_id, md5('<div id="d"><h1 id="d__translated">&lt;' || source || '&gt;</h1><p>' || CASE WHEN blank THEN own ELSE said END || '<b>&lt;bold&gt;</b>' || CASE WHEN blank THEN own || ' ' || chr(160) ELSE said END || '</p></div>') AS digest FROM y""",
+    "xml_translate_append": f"""WITH x AS ({_SQUEEZED}), y AS (SELECT *, trim(x, ' ') = '' AS blank, {_SAID} AS said, {_ESCAPE.format("text")} AS own FROM x)
+        SELECT doc_id, md5('<div id="d"><h1 id="d__translated">' || source || '</h1><h1 id="d__translated_2">&lt;' || source || '&gt;</h1><p>' || own || '<b>bold</b>' || own || ' ' || chr(160) || '</p><p>' || CASE WHEN blank THEN own ELSE said END || '<b>&lt;bold&gt;</b>' || CASE WHEN blank THEN own || ' ' || chr(160) ELSE said END || '</p></div>') AS digest FROM y""",
+    "llm_cache_keys": """SELECT min((conv_id, turn))[1] AS conv_id, min((conv_id, turn))[2] AS turn, count(*) AS n, md5(role || '|' || text) AS digest, CAST(128 AS BIGINT) AS key_chars FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY role, text""",
 }

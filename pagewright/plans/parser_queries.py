@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.functions import parsers as X
+from pagewright.functions import parsers as X, text as T
 from pagewright.session import table
 
 
@@ -22,9 +22,11 @@ def latex(spark, d):
 
 
 def round_trip(spark, d):
-    """tokens back to Markdown, read again, are the same."""
-    same = X.arrow(lambda t: X.latex_tokens(X.latex_markdown(X.latex_tokens(t))) == X.latex_tokens(t), "boolean")
-    return table(spark, d, "documents").select("doc_id", same(F.col("text")).alias("same"))
+    """escaped texts read as tokens give the text again, and as Markdown the escaped text, by digest."""
+    escaped = T.escape_markdown(F.col("text"))
+    back = X.arrow(lambda t: None if t is None else "".join(c for _, c in X.latex_tokens(t)), "string")
+    again = X.arrow(lambda t: None if t is None else X.latex_markdown(X.latex_tokens(t)), "string")
+    return table(spark, d, "documents").select("doc_id", F.md5(back(escaped)).alias("plain"), F.md5(again(escaped)).alias("markdown"))
 
 
 def sanitized(spark, d):
@@ -41,15 +43,16 @@ def policy(spark, d):
 
 
 def tables(spark, d):
-    """plain tables to pipe tables, merged ones left alone."""
+    """plain tables to pipe tables, merged ones left alone; a cell holds the whole text."""
+    body = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     cell = F.element_at(F.array(F.lit("<td>"), F.lit("<td colspan='2'>"), F.lit('<td rowspan="1">'), F.lit("<td colspan=x>")), (F.col("doc_id") % 4 + 1).cast("int"))
-    html = F.concat(F.lit("<table><tr><th>a</th><th>b</th></tr><tr>"), cell, F.col("lang"), F.lit("</td><td>"), F.col("source"), F.lit("</td></tr></table>"))
-    return table(spark, d, "documents").select("doc_id", X.arrow(X.table_markdown, "string")(html).alias("text"))
+    html = F.concat(F.lit("<table><tr><th>a</th><th>b</th></tr><tr>"), cell, F.col("source"), F.lit("</td><td>"), body, F.lit("</td></tr></table>"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.arrow(X.table_markdown, "string")(html)).alias("digest"))
 
 
 def entities(spark, d):
-    """Named entities as numbers, by length."""
-    return table(spark, d, "pages").select("page_id", F.length(X.arrow(X.numeric_entities, "string")(F.col("html"))).cast("long").alias("n_chars"))
+    """Named entities as numbers, by digest."""
+    return table(spark, d, "pages").select("page_id", F.md5(X.arrow(X.numeric_entities, "string")(F.col("html"))).alias("digest"))
 
 
 QUERIES = {"degenerate_ngram_filter": degenerate, "latex_tokens": latex, "latex_roundtrip": round_trip, "html_sanitize_tokens": sanitized, "html_tag_policy": policy, "html_table_gfm": tables, "entity_numbers": entities}
@@ -63,10 +66,11 @@ ORACLE_SQL = {
     "degenerate_ngram_filter": """WITH c AS (SELECT doc_id, string_split(text, '') AS c, length(text) AS n FROM documents WHERE text IS NOT NULL),
         r AS (SELECT doc_id, c, n, unnest(range(2, 21)) AS k FROM c), e AS (SELECT doc_id, k, CASE WHEN k <= 5 THEN 16 ELSE 8 END AS times, array_to_string(list_transform(range(1, n - k + 1), lambda i: CASE WHEN c[i] = c[i + k] THEN '1' ELSE '0' END), '') AS s FROM r WHERE n > k)
         SELECT DISTINCT doc_id FROM e WHERE contains(s, repeat('1', CAST(k * (times - 1) AS INT)))""",
-    "latex_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "latex_roundtrip": r"SELECT doc_id, md5(text) AS plain, md5(replace(replace(text, '\', '\\'), '$', '\$')) AS markdown FROM documents",
     "html_tag_policy": f"""WITH t AS (SELECT lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1))) AS tag FROM pages)
         SELECT tag, count(*) AS n, CASE WHEN tag IN ({_quoted(X.FILTERED_TAGS)}) THEN 'filter' WHEN tag IN ({_quoted(X.DISSOLVED_TAGS)}) THEN 'dissolve' WHEN tag IN ({_quoted(X.ALLOWED_TAGS)}) THEN 'allow' ELSE 'escape' END AS action FROM t GROUP BY tag""",
-    "html_table_gfm": """SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN '<table><tr><th>a</th><th>b</th></tr><tr>' || CASE WHEN doc_id % 4 = 1 THEN '<td colspan=''2''>' ELSE '<td colspan=x>' END || lang || '</td><td>' || source || '</td></tr></table>'
-        ELSE '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' END AS text FROM documents""",
-    "entity_numbers": """SELECT page_id, CAST(length(replace(replace(html, '&copy;', '&#169;'), '&middot;', '&#183;')) AS BIGINT) AS n_chars FROM pages""",
+    "html_table_gfm": f"""WITH x AS (SELECT doc_id, source, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body, replace(trim(regexp_replace(text, '[{T.SPACE}]+', ' ', 'g'), ' '), '|', '\\|') AS cell FROM documents)
+        SELECT doc_id, md5(CASE WHEN doc_id % 4 IN (1, 3) THEN '<table><tr><th>a</th><th>b</th></tr><tr>' || CASE WHEN doc_id % 4 = 1 THEN '<td colspan=''2''>' ELSE '<td colspan=x>' END || source || '</td><td>' || body || '</td></tr></table>'
+        ELSE '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || source || ' | ' || cell || ' |' END) AS digest FROM x""",
+    "entity_numbers": """SELECT page_id, md5(replace(replace(html, '&copy;', '&#169;'), '&middot;', '&#183;')) AS digest FROM pages""",
 }

@@ -27,8 +27,8 @@ def sql_title_key(x: str) -> str:
 
 
 def title_keys(spark, d):
-    """Canonical titles."""
-    return _docs(spark, d).select("doc_id", T.title_key(F.substring_index("text", "\n", 1)).alias("title_key"))
+    """Canonical text of every line, as of a title."""
+    return layouts(spark, d).select("doc_id", "ord", T.title_key(F.col("text")).alias("title_key"))
 
 
 def collapsed(spark, d):
@@ -37,9 +37,9 @@ def collapsed(spark, d):
 
 
 def headings(spark, d):
-    """Both heading rules on marked first lines."""
-    marked = F.concat(F.element_at(F.array(F.lit("## "), F.lit("#"), F.lit("  ### "), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")), F.substring_index("text", "\n", 1))
-    return _docs(spark, d).select("doc_id", T.strip_heading(marked).alias("chapter_title"), T.strip_contents_heading(marked).alias("contents_title"))
+    """Both heading rules on marked lines."""
+    marked = F.concat(F.element_at(F.array(F.lit("## "), F.lit("#"), F.lit("  ### "), F.lit("")), ((F.col("doc_id") + F.col("ord")) % 4 + 1).cast("int")), F.col("text"))
+    return layouts(spark, d).select("doc_id", "ord", T.strip_heading(marked).alias("chapter_title"), T.strip_contents_heading(marked).alias("contents_title"))
 
 
 _HAN_ROWS = ["这是中文, 这是中文: 也是中文; 对吗? 当然!", "abc, 中文", "中文: abc", "中 , 文", "𠀀, a", "ok? 好 : 好", "！中;", ""]
@@ -55,9 +55,8 @@ _HAN_WANT = ["这是中文， 这是中文： 也是中文； 对吗？ 当然
 
 
 def quotes(spark, d):
-    """Quote unwrapping over quoted first words."""
-    word = F.substring_index("text", " ", 1)
-    return _docs(spark, d).select("doc_id", T.unwrap_quotes(F.concat(F.lit("«‹"), word, F.lit("›» 《〈"), word, F.lit("〉》"))).alias("text"))
+    """Quote unwrapping over quoted texts, by digest."""
+    return _docs(spark, d).select("doc_id", F.md5(T.unwrap_quotes(F.concat(F.lit("«‹"), F.col("text"), F.lit("›» 《〈"), F.col("text"), F.lit("〉》")))).alias("digest"))
 
 
 def letters(spark, d):
@@ -98,8 +97,8 @@ def mergeable_pairs(spark, d):
 
 def table_texts(spark, d):
     """F16: lines that read like table titles or table notes."""
-    text = F.concat(F.element_at(F.array(F.lit("Table 1: "), F.lit("Note: "), F.lit(""), F.lit("Source. ")), (F.col("doc_id") % 4 + 1).cast("int")), F.substring("text", 1, 40))
-    return _docs(spark, d).select("doc_id", T.table_title(text).alias("is_title"), T.table_caption(text).alias("is_caption"))
+    text = F.concat(F.element_at(F.array(F.lit("Table 1: "), F.lit("Note: "), F.lit(""), F.lit("Source. ")), (F.col("ord") % 4 + 1).cast("int")), F.col("text"))
+    return layouts(spark, d).select("doc_id", "ord", T.table_title(text).alias("is_title"), T.table_caption(text).alias("is_caption"))
 
 
 def metadata(spark, d):
@@ -110,7 +109,7 @@ def metadata(spark, d):
     stamp = F.when(F.col("doc_id") % 3 == 0, "D:bad").otherwise(F.concat(F.lit("D:2024"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("05101112+00'00'")))
     when = F.try_to_timestamp(F.substring(F.regexp_replace(stamp, "^D:", ""), 1, 14), F.lit("yyyyMMddHHmmss"))
     path = F.concat(F.lit("/books/"), F.col("source"), F.lit(".pdf"))
-    title = F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)), F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1))
+    title = F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("text")), F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1))
     return _docs(spark, d).select("doc_id", F.array_join(authors, "|").alias("authors"), F.date_format(F.coalesce(when, F.lit("2000-01-01 00:00:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("modified"), title.alias("title"))
 
 
@@ -120,8 +119,10 @@ def kinds(spark, d):
     refs = ["text", "sub_title", "image", "image_caption", "table", "table_caption", "equation", "equation_caption", "text", "text", None]
     kind = F.element_at(F.array(*map(F.lit, names)), (F.col("ord") % 11 + 1).cast("int"))
     ref = F.create_map(*[F.lit(x) for k, r in zip(names, refs, strict=True) if r for x in (k, r)])[kind]
-    html = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("<b>"), F.substring("text", 1, 10), F.lit("</b>")))
-    parts = F.array(F.coalesce(html, F.substring("text", 1, 15)), F.substring("text", 16, 10), F.substring("text", 40, 5))
+    third = F.expr("length(text) div 3")
+    one, two, three = F.substr("text", F.lit(1), third), F.substr("text", third + 1, third), F.substr("text", third * 2 + 1)
+    html = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("<b>"), one, F.lit("</b>")))
+    parts = F.array(F.coalesce(html, one), two, three)
     joined = F.array_join(F.filter(parts, lambda p: p != ""), "\n")
     return layouts(spark, d).select("book", "page_index", "ord", ref.alias("ref"), joined.alias("text")).where("ref IS NOT NULL")
 
@@ -139,7 +140,7 @@ def ramps(spark, d):
 
 def answers(spark, d):
     """JSON bodies in answers, and refusals."""
-    turn = F.concat(F.element_at(F.array(F.lit("```json\n{\"a\": "), F.lit("Sorry, "), F.lit("[1] "), F.lit("")), (F.col("turn") % 4 + 1).cast("int")), F.substring("text", 1, 20))
+    turn = F.concat(F.element_at(F.array(F.lit("```json\n{\"a\": "), F.lit("Sorry, "), F.lit("[1] "), F.lit("")), (F.col("turn") % 4 + 1).cast("int")), F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", T.json_body(turn).alias("body"), T.refusal(turn).alias("refused"))
 
 
@@ -181,12 +182,12 @@ _VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_HAN_WANT))
 _VOID = "area|base|br|col|embed|hr|img|input|link|param|source|track|wbr"
 
 ORACLE_SQL = {
-    "text_normalize_title": f"SELECT doc_id, {sql_title_key('split_part(text, chr(10), 1)')} AS title_key FROM documents",
+    "text_normalize_title": f"WITH {LAYOUTS_SQL} SELECT doc_id, ord, {sql_title_key('text')} AS title_key FROM layouts",
     "text_collapse_ws": f"SELECT doc_id, md5({_sql_collapse('text')}) AS digest, {_sql_collapse('text')} = '' AS is_blank FROM documents",
-    "md_heading_strip": f"""WITH x AS (SELECT doc_id, list_value('## ', '#', '  ### ', '')[doc_id % 4 + 1] || split_part(text, chr(10), 1) AS m FROM documents)
-        SELECT doc_id, regexp_replace(m, '^#+[{_RE2_SPACE}]+', '') AS chapter_title, regexp_replace(m, '^[{_RE2_SPACE}]*#{{1,6}}[{_RE2_SPACE}]*', '') AS contents_title FROM x""",
+    "md_heading_strip": f"""WITH {LAYOUTS_SQL}, x AS (SELECT doc_id, ord, list_value('## ', '#', '  ### ', '')[(doc_id + ord) % 4 + 1] || text AS m FROM layouts)
+        SELECT doc_id, ord, regexp_replace(m, '^#+[{_RE2_SPACE}]+', '') AS chapter_title, regexp_replace(m, '^[{_RE2_SPACE}]*#{{1,6}}[{_RE2_SPACE}]*', '') AS contents_title FROM x""",
     "han_punctuation": f"SELECT CAST(id AS BIGINT) AS id, text FROM (VALUES {_VALUES}) AS v(id, text)",
-    "quote_unwrap": "SELECT doc_id, '«' || split_part(text, ' ', 1) || '» 《' || split_part(text, ' ', 1) || '》' AS text FROM documents",
+    "quote_unwrap": "SELECT doc_id, md5('«' || translate(text, '‹›〈〉«»《》', '«»《》') || '» 《' || translate(text, '‹›〈〉«»《》', '«»《》') || '》') AS digest FROM documents",
     "letter_ids": """WITH x AS (SELECT doc_id, doc_id % 18000 AS n FROM documents)
         SELECT doc_id, CASE WHEN n < 26 THEN chr(CAST(65 + n AS INT)) WHEN n < 702 THEN chr(CAST(65 + (n - 26) // 26 AS INT)) || chr(CAST(65 + (n - 26) % 26 AS INT))
         ELSE chr(CAST(65 + (n - 702) // 676 AS INT)) || chr(CAST(65 + (n - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (n - 702) % 26 AS INT)) END AS letters FROM x""",
@@ -201,19 +202,19 @@ ORACLE_SQL = {
         WHEN regexp_matches(y, '[{T.LATIN}][{T.LINK_MARKS}]$') AND regexp_matches(z, '^[{T.LATIN}]') THEN true
         WHEN regexp_matches(c, '{T.NUMBERING}[{_RE2_SPACE}]*[^{_RE2_SPACE}]') THEN false ELSE true END AS mergeable,
         regexp_matches(a, '[{T.LATIN}][{T.LINK_MARKS}]$') AND regexp_matches(c, '^[{T.LATIN}]') AS split_word FROM s""",
-    "table_text_tests": f"""WITH x AS (SELECT doc_id, {_sql_collapse("list_value('Table 1: ', 'Note: ', '', 'Source. ')[doc_id % 4 + 1] || substr(text, 1, 40)")} AS x FROM documents)
-        SELECT doc_id, length(x) > 0 AND length(x) <= 180 AND (regexp_matches(x, '{T.TABLE_TITLE}') OR regexp_matches(x, '[:：]$')) AS is_title,
+    "table_text_tests": f"""WITH {LAYOUTS_SQL}, x AS (SELECT doc_id, ord, {_sql_collapse("list_value('Table 1: ', 'Note: ', '', 'Source. ')[ord % 4 + 1] || text")} AS x FROM layouts)
+        SELECT doc_id, ord, length(x) > 0 AND length(x) <= 180 AND (regexp_matches(x, '{T.TABLE_TITLE}') OR regexp_matches(x, '[:：]$')) AS is_title,
         length(x) > 0 AND length(x) <= 260 AND (regexp_matches(x, '{T.TABLE_NOTE}') OR regexp_matches(x, '{T.TABLE_FOOTNOTE}') OR lower(x) = 'category not applicable.') AS is_caption FROM x""",
     "pdf_metadata": """SELECT doc_id, list_value('A B|E F', 'A B|E F', 'A B|E F', 'A B|C, D E F')[doc_id % 4 + 1] AS authors,
         CASE WHEN doc_id % 3 = 0 THEN '2000-01-01 00:00:00' ELSE '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-05 10:11:12' END AS modified,
-        CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) ELSE source END AS title FROM documents""",
+        CASE WHEN doc_id % 2 = 0 THEN coalesce(text, source) ELSE source END AS title FROM documents""",
     "layout_kind_map": f"""WITH {LAYOUTS_SQL}, x AS (SELECT *, list_value('text', 'sub_title', 'image', 'image_caption', 'table', 'table_caption', 'equation', 'equation_caption', 'text', 'text', NULL)[ord % 11 + 1] AS k,
-        list_value(CASE WHEN ord % 5 = 0 THEN '<b>' || substr(text, 1, 10) || '</b>' ELSE substr(text, 1, 15) END, substr(text, 16, 10), substr(text, 40, 5)) AS p FROM layouts)
+        length(text) // 3 AS n, list_value(CASE WHEN ord % 5 = 0 THEN '<b>' || substr(text, 1, n) || '</b>' ELSE substr(text, 1, n) END, substr(text, n + 1, n), substr(text, n * 2 + 1)) AS p FROM layouts)
         SELECT book, page_index, ord, k AS ref, array_to_string(list_filter(p, lambda q: q <> ''), chr(10)) AS text FROM x WHERE k IS NOT NULL""",
     "void_tag_fix": f"SELECT page_id, md5(regexp_replace(html, '(?i)<({_VOID})\\b([^<>]*?)\\s*/?>', '<\\1\\2 />', 'g')) AS digest FROM pages",
     "param_ramps": """SELECT doc_id, round(CAST(0.2 AS DOUBLE) + CAST(0.6 AS DOUBLE) * least(doc_id % 7, 4) / 4, 6) AS ramp,
         round(CAST(1.0 AS DOUBLE) - CAST(0.8 AS DOUBLE) * pow(CAST(0.5 AS DOUBLE), doc_id % 7), 6) AS halving FROM documents""",
-    "json_answer": """WITH x AS (SELECT conv_id, turn, list_value('```json' || chr(10) || '{"a": ', 'Sorry, ', '[1] ', '')[turn % 4 + 1] || substr(text, 1, 20) AS t FROM conversations),
+    "json_answer": """WITH x AS (SELECT conv_id, turn, list_value('```json' || chr(10) || '{"a": ', 'Sorry, ', '[1] ', '')[turn % 4 + 1] || text AS t FROM conversations),
         y AS (SELECT *, trim(regexp_replace(t, '(?is)```(?:json)?\\s*\\n?(.*?)\\n?```', '\\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS x FROM x),
         z AS (SELECT *, regexp_extract(x, '(?s)\\[.*\\]') AS a, regexp_extract(x, '(?s)\\{.*\\}') AS o FROM y)
         SELECT conv_id, turn, CASE WHEN a <> '' AND o <> '' THEN CASE WHEN instr(x, '[') < instr(x, '{') THEN a ELSE o END WHEN a <> '' THEN a WHEN o <> '' THEN o ELSE x END AS body,

@@ -114,13 +114,14 @@ keys AS (SELECT book, page_index, k AS key FROM (SELECT book, page_index, {sql_t
 own AS (SELECT book, key, list(page_index) AS pages FROM keys GROUP BY ALL),
 bodies AS (SELECT book, page_index, string_agg(text, ' ' ORDER BY ord) AS body FROM layouts GROUP BY ALL UNION ALL SELECT book, 1, string_agg(title, ' ' ORDER BY page_index) FROM titles GROUP BY ALL),
 pages AS (SELECT book, page_index, {sql_title_key("body")} AS body FROM bodies),
-matches AS (SELECT book, page_index, key, list_filter(o.pages, lambda q: q <> p.page_index) AS refs, len(list_filter(range(1, length(body) - length(key) + 2), lambda i: substr(body, i, length(key)) = key)) AS hits
-  FROM pages p JOIN own o USING (book) WHERE contains(body, key))"""
+met AS (SELECT book, page_index, key, list_filter(o.pages, lambda q: q <> p.page_index) AS refs, substr(body, instr(body, key) + 1) AS rest FROM pages p JOIN own o USING (book) WHERE contains(body, key)),
+found AS (SELECT book, page_index, key, refs, rest, 1 AS n FROM met UNION ALL SELECT book, page_index, key, refs, substr(rest, instr(rest, key) + 1), n + 1 FROM found WHERE contains(rest, key)),
+matches AS (SELECT book, page_index, key, any_value(refs) AS refs, max(n) AS hits FROM found GROUP BY book, page_index, key)"""
 _TITLES0 = "t0 AS (SELECT *, CAST(0 AS BIGINT) AS ord FROM titles)"
 _LEVELED = f"WITH RECURSIVE {LAYOUTS_SQL}, x AS (SELECT book, page_index, page_index * 7 % 4 AS level, row_number() OVER (PARTITION BY book ORDER BY page_index) AS id FROM titles), nodes AS (SELECT a.book, a.id, a.level, coalesce((SELECT max(b.id) FROM x b WHERE b.book = a.book AND b.id < a.id AND b.level < a.level), 0) AS parent_id FROM x a)"
 
 ORACLE_SQL = {
-    "toc_page_detect": f"""WITH {_MATCHES},
+    "toc_page_detect": f"""WITH RECURSIVE {_MATCHES},
         scores AS (SELECT p.book, p.page_index, coalesce(round(s.score, 6), 0) AS score FROM bodies p LEFT JOIN (SELECT book, page_index, sum(hits / len(refs)) AS score FROM matches WHERE len(refs) > 0 GROUP BY ALL) s USING (book, page_index)),
         a AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY book) AS total, round(score - lead(score) OVER w, 6) AS drp FROM scores WINDOW w AS (PARTITION BY book ORDER BY score DESC, page_index)),
         c AS (SELECT book, arg_max(rank, (drp, -rank)) AS cut FROM a WHERE drp > 0 GROUP BY book),
@@ -129,7 +130,7 @@ ORACLE_SQL = {
         m AS (SELECT *, page_index - place AS run, first_value(page_index - place) OVER w AS first_run, first_value(score) OVER w AS first_score FROM k WHERE place <= greatest(3, floor(total * 0.1)) WINDOW w AS (PARTITION BY book ORDER BY page_index)),
         n AS (SELECT *, greatest(rest, coalesce(max(CASE WHEN run <> first_run THEN score END) OVER (PARTITION BY book), 0)) AS content FROM m)
         SELECT book, page_index, round(score, 6) AS score FROM n WHERE run = first_run AND first_score >= 3 * content""",
-    "toc_title_matches": f"WITH {_MATCHES} SELECT book, page_index, key AS title_key, CAST(hits AS BIGINT) AS hits, CAST(len(refs) AS BIGINT) AS n_refs FROM matches WHERE len(refs) > 0",
+    "toc_title_matches": f"WITH RECURSIVE {_MATCHES} SELECT book, page_index, key AS title_key, CAST(hits AS BIGINT) AS hits, CAST(len(refs) AS BIGINT) AS n_refs FROM matches WHERE len(refs) > 0",
     "toc_title_levels": f"WITH {LAYOUTS_SQL}, {cluster_sql('titles', 'book', 'height', 0.025, 4, 'c')} SELECT book, page_index, height, max(grp) OVER (PARTITION BY book) - grp AS level FROM c",
     "toc_levels": f"""WITH {LAYOUTS_SQL}, {cluster_sql('titles', 'book', 'height', 0.025, 4, 'c')}, own AS (SELECT book, page_index, max(grp) OVER (PARTITION BY book) - grp AS level FROM c),
         hooks AS (SELECT book, page_index % 2 + 1 AS toc_page, page_index AS toc_ord, 20 + 15 * (page_index % 3) AS hh, page_index FROM titles), {cluster_sql('hooks', 'book, toc_page', 'hh', 0.75, 4, 'h')},

@@ -19,7 +19,7 @@ flat AS (SELECT doc_id, len(lines) AS n_lines, unnest(lines) AS text, unnest(ran
 layouts AS (SELECT doc_id // 50 AS book, doc_id % 50 + 2 AS page_index, ord, CASE WHEN ord = 0 THEN 'sub_title' ELSE 'text' END AS ref,
   100 + 450 * CAST(2 * ord >= n_lines AS BIGINT) AS l, 100 + 60 * ord AS t, 500 + 450 * CAST(2 * ord >= n_lines AS BIGINT) AS r,
   100 + 60 * ord + CASE WHEN ord = 0 THEN 30 + 15 * (doc_id % 4) ELSE 20 + 10 * (length(text) % 4) END AS b, text, doc_id FROM flat),
-titles AS (SELECT book, page_index, substr(text, 1, 60) AS title, b - t AS height FROM layouts WHERE ord = 0)"""
+titles AS (SELECT book, page_index, text AS title, b - t AS height FROM layouts WHERE ord = 0)"""
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titles(rows: DataFrame) -> DataFrame:
     """book, page_index, title, height of every page that has a title."""
-    return rows.where("ord = 0").select("book", "page_index", F.substring("text", 1, 60).alias("title"), (F.col("b") - F.col("t")).alias("height"))
+    return rows.where("ord = 0").select("book", "page_index", F.col("text").alias("title"), (F.col("b") - F.col("t")).alias("height"))
 
 
 def bodies(rows: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def bodies(rows: DataFrame) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, page_index, titles, body of all pages, contents pages included; one scan and one shuffle by book."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    page = F.struct((F.col("doc_id") % PAGES_PER_BOOK + 2).alias("page_index"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"), F.translate("text", "\n", " ").alias("body"))
+    page = F.struct((F.col("doc_id") % PAGES_PER_BOOK + 2).alias("page_index"), F.substring_index("text", "\n", 1).alias("title"), F.translate("text", "\n", " ").alias("body"))
     books = docs.groupBy(F.expr(f"doc_id div {PAGES_PER_BOOK}").alias("book")).agg(F.sort_array(F.collect_list(page)).alias("p"))
     contents = F.struct(F.lit(1).cast("long").alias("page_index"), F.lit(None).cast("string").alias("title"), F.array_join("p.title", " ").alias("body"))
     every = books.select("book", F.explode(F.concat(F.array(contents), "p")).alias("p"))

@@ -26,21 +26,40 @@ def budget_stream(events: DataFrame, limit: int) -> DataFrame:
     return events.groupBy("document").applyInPandasWithState(run, "document long, event long, spent_before long", "spent long", "append", GroupStateTimeout.NoTimeout)
 
 
-def regroup_stream(parts: DataFrame) -> DataFrame:
-    """document, element, text of elements in a stream of parts (document, ord, element, text): an element is complete when the next begins."""
+def regroup_stream(parts: DataFrame, idle: int | None = None) -> DataFrame:
+    """document, element, text of elements in a stream of parts (document, ord, element, text).
+
+    An element is complete when the next begins. The last one of a document is complete when a part without an element comes,
+    the mark of the document's end, or, with `idle`, when nothing has come for so many milliseconds.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         element, text = state.get if state.exists else (None, "")
         done = []
-        for row in pd.concat(list(batches)).sort_values("ord").itertuples():
-            if element is not None and row.element != element:
+        if state.hasTimedOut:
+            done, element = [(key[0], element, text)], None
+        for row in () if state.hasTimedOut else pd.concat(list(batches)).sort_values("ord").itertuples():
+            own = None if pd.isna(row.element) else int(row.element)
+            if element is not None and own != element:
                 done.append((key[0], element, text))
                 text = ""
-            element, text = row.element, text + row.text
-        state.update((element, text))
+            element, text = own, text + (row.text or "") if own is not None else ""
+        if element is None:
+            state.remove()
+        else:
+            state.update((element, text))
+            if idle is not None:
+                state.setTimeoutDuration(idle)
         yield pd.DataFrame(done, columns=["document", "element", "text"])
 
-    return parts.groupBy("document").applyInPandasWithState(run, "document long, element long, text string", "element long, text string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return parts.groupBy("document").applyInPandasWithState(run, "document long, element long, text string", "element long, text string", "append", timeout)
+
+
+def with_ends(parts: DataFrame) -> DataFrame:
+    """Parts of documents that are whole, with the mark of the end after each document."""
+    ends = parts.groupBy("document").agg((F.max("ord") + 1).alias("ord")).select("document", "ord", F.lit(None).cast("long").alias("element"), F.lit("").alias("text"))
+    return parts.select("document", "ord", "element", "text").union(ends)
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -75,11 +75,25 @@ def test_translate(spark):
 
 
 def test_streams(spark, tmp_path):
-    parts = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 1, "b"), (1, 2, 2, "c"), (2, 0, 1, "z")], "document long, ord long, element long, text string")
-    parts.write.parquet(str(tmp_path / "in"))
+    parts = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 1, "b"), (1, 2, 2, "c"), (2, 0, 1, "z"), (3, 0, 5, None), (3, 1, 5, "y")], "document long, ord long, element long, text string")
+    metering.with_ends(parts).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(parts.schema).parquet(str(tmp_path / "in"))
     done = metering.finish(metering.regroup_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
-    assert [(r.document, r.element, r.text) for r in done] == [(1, 1, "ab")]
+    assert sorted((r.document, r.element, r.text) for r in done) == [(1, 1, "ab"), (1, 2, "c"), (2, 1, "z"), (3, 5, "y")]
+
+
+def test_elements_go_on_over_batches(spark, tmp_path):
+    schema = "document long, ord long, element long, text string"
+    source = str(tmp_path / "in")
+    for rows in ([(1, 0, 1, "a"), (1, 1, 2, "b")], [(1, 2, 2, "c")], [(1, 3, None, "")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        done = metering.finish(metering.regroup_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    assert sorted((r.document, r.element, r.text) for r in done) == [(1, 1, "a"), (1, 2, "bc")]
+
+
+def test_cache_adds_once(spark, tmp_path):
+    parts = spark.createDataFrame([(1, 0, 1, "a"), (1, 1, 1, "b"), (1, 2, 2, "c"), (2, 0, 1, "z")], "document long, ord long, element long, text string")
     write = metering.append_new(str(tmp_path / "cache"), "document")
     write(parts, 0)
     write(parts, 0)
