@@ -143,34 +143,39 @@ def merge_rows(flat: np.ndarray, size: np.ndarray, pairs: HashTable64) -> tuple[
 
     Returns the merged ids end to end and their number in each row.
 
-    Ids of merges grow with their rank, so in each turn every row merges its leftmost pair of least id.
+    Ids of merges grow with their rank, so in each turn every row merges its leftmost pair of least id. Rows stand side by
+    side, one column each; a column is a linked list between two places without a symbol, so a merge touches two places, and a
+    pair's id and place in one number make the least of a column the pair to merge.
     """
-    none, n, wide = np.int32(2**31 - 1), len(size), int(size.max(initial=0))
-    row, col = np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    ids = np.zeros((n, wide + 1), np.int64)
-    ids[row, col] = flat
-
-    def ranked(a: np.ndarray, b: np.ndarray, good: np.ndarray) -> np.ndarray:
-        found = pairs.get((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
-        return np.where(good & (found >= 0), found, none)
-
-    size, place, live = size.copy(), np.arange(wide), np.arange(n)
-    best = ranked(ids[:, :-1], ids[:, 1:], place[None, :] + 1 < size[:, None])
-    while len(live):
-        k = best[live].argmin(1)
-        got = best[live, k]
-        live, k, got = live[got < none], k[got < none], got[got < none]
-        if not len(live):
+    none, n, wide = np.int64(2**62), len(size), int(size.max(initial=0))
+    row, place = np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1
+    ids = np.full((wide + 2) * n, -1, np.int64)
+    ids[place * n + row] = flat
+    after = np.arange(len(ids)) + n
+    before = after - 2 * n
+
+    def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Keys of the pairs of symbols at places a and b."""
+        found = pairs.get((ids[a] << 32 | ids[b]).view(np.uint64)).astype(np.int64)
+        return np.where((found >= 0) & (ids[a] >= 0) & (ids[b] >= 0), found << 32 | a, none)
+
+    best = np.full((wide + 2) * n, none, np.int64)
+    inner = np.arange(n, wide * n)
+    best[inner] = ranked(inner, inner + n)
+    columns = best.reshape(wide + 2, n)
+    while n:
+        least = columns.min(0)
+        at = least[least < none]
+        if not len(at):
             break
-        shift = place[None, :] + (place[None, :] > k[:, None])  # drops position k + 1
-        ids[live, :wide] = np.take_along_axis(ids[live], shift, 1)
-        ids[live, k] = got
-        best[live] = np.take_along_axis(np.concatenate([best[live], np.full((len(live), 1), none)], 1), shift, 1)
-        size[live] -= 1
-        best[live, k] = ranked(ids[live, k], ids[live, k + 1], k + 1 < size[live])
-        left = np.maximum(k - 1, 0)
-        best[live, left] = np.where(k > 0, ranked(ids[live, left], ids[live, k], k > 0), best[live, left])
-    return ids[np.arange(wide + 1)[None, :] < size[:, None]], size
+        merged, at = at >> 32, at & np.int64(2**32 - 1)
+        gone, left = after[at], before[at]
+        right = after[gone]
+        ids[at], ids[gone], best[gone] = merged, -1, none
+        after[at], before[right] = right, at
+        best[at], best[left] = ranked(at, right), ranked(left, at)
+    kept = ids.reshape(wide + 2, n).T
+    return kept[kept >= 0], (kept >= 0).sum(1)
 
 
 class ByteBPE:

@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,11 @@ from .tables import HashTable64
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
+#: The first tokens of a piece have nothing before them to be predicted from, so they bear no loss.
+LEAD_TOKENS = 32
+#: A sequence of one piece has more than this: some of its tokens must be the lead of another.
+MAX_LOSS_TOKENS = MAX_TOKENS - 2 * LEAD_TOKENS
+LIMITS = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)
 WINDOW = 512
 OPEN_BINS = 48
 END_ID = 1
@@ -59,37 +65,38 @@ class WordCoder:
         self.cache: dict[str, bytes] = {}  # word to its ids as unsigned 32-bit numbers
         self.older: dict[str, bytes] = {}
 
+    def _remember(self, words: set[str]) -> set[str]:
+        """Moves what the older cache holds of the words to the cache; the others."""
+        known = words & self.older.keys()
+        self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        return words - known
+
+    def _merge(self, words: list[str]) -> None:
+        """Puts the ids of words of one piece, none of them long, into the cache."""
+        words.sort(key=len)
+        for at in range(0, len(words), 8192):
+            group = words[at : at + 8192]
+            raw = np.frombuffer("\n".join([*group, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+            ends = np.flatnonzero(raw == 10)
+            raw, ends = raw[raw != 10], ends - np.arange(len(ends))
+            flat, tail = self.inner[raw], ends - 1
+            flat[tail] = self.last[raw[tail]]
+            merged, sizes = merge_rows(flat, np.diff(ends, prepend=0), self.pairs)
+            cuts, ids = (np.cumsum(sizes) * 4).tolist(), merged.astype(np.uint32).tobytes()
+            self.cache.update(zip(group, [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
     def _learn(self, words: set[str]) -> None:
-        whole, parts = [], dict[str, list[str] | tuple[str, str]]()
-        for w in words:
-            if (known := self.older.get(w)) is not None:
-                self.cache[w] = known
-            elif w.isalpha() and len(w) <= LONG_WORD:
-                whole.append(w)
-            elif (core := w.rstrip(_MARKS)).isalpha() and len(core) < len(w):
-                parts[w] = (core, w[len(core) :])
-            else:
-                parts[w] = self.pieces(w)
-        coded: dict[str, bytes] = self.cache if not parts else {}
-        new = {p for ps in parts.values() for p in ps}
-        short = [p for p in new if len(p) <= LONG_WORD]
-        for some, into in ((whole, self.cache), (short, coded)):
-            some.sort(key=len)
-            for at in range(0, len(some), 4096):
-                group = some[at : at + 4096]
-                raw = [p.encode("utf-8", "surrogatepass") for p in group]
-                size = np.fromiter(map(len, raw), np.int64, len(raw))
-                raw = np.frombuffer(b"".join(raw), np.uint8)
-                flat, tail = self.inner[raw], np.cumsum(size) - 1
-                flat[tail] = self.last[raw[tail]]
-                merged, sizes = merge_rows(flat, size, self.pairs)
-                ends, ids = (np.cumsum(sizes) * 4).tolist(), merged.astype(np.uint32).tobytes()
-                into.update(zip(group, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        for p in new:
+        """Puts words that the cache lacks into it. What stands before a run of marks is a word of its own, mostly known already."""
+        new = self._remember(words)
+        whole = {w for w in new if w.isalpha()}
+        parts = {w: (core, w[len(core) :]) if (core := w.rstrip(_MARKS)).isalpha() else self.pieces(w) for w in new - whole}
+        pieces = self._remember(whole | set().union(*parts.values()) - self.cache.keys())
+        self._merge([p for p in pieces if len(p) <= LONG_WORD])
+        for p in pieces:
             if len(p) > LONG_WORD:
-                coded[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
-        for w, ps in parts.items():
-            self.cache[w] = b"".join(map(coded.__getitem__, ps))
+                self.cache[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
+        get = self.cache.__getitem__
+        self.cache.update([(w, b"".join(map(get, ps))) for w, ps in parts.items()])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = []
@@ -99,9 +106,14 @@ class WordCoder:
             split.append([w for w in _SPLIT_ODD.split(t) if w] if _ODD_SPACE.search(t) else t.split())
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
-        self._learn(set().union(*split) - self.cache.keys())
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.cache.get, words))
+        if None in found:
+            self._learn({w for w, f in zip(words, found, strict=True) if f is None})
+            get = self.cache.__getitem__
+            found = [get(w) if f is None else f for w, f in zip(words, found, strict=True)]
+        ends = np.cumsum([len(s) for s in split]).tolist()
+        return [np.frombuffer(b"".join(found[a:b]), np.uint32) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(2)
@@ -112,18 +124,24 @@ def word_coder(path: str) -> WordCoder:
 class Item:
     """A piece of an example that is still to be placed."""
 
-    __slots__ = ("ids", "key", "loss", "start", "total")
+    __slots__ = ("ids", "key", "lead", "loss", "start", "total")
 
-    def __init__(self, key: int | None, start: int, ids: np.ndarray, total: int, loss: int) -> None:
-        self.key, self.start, self.ids, self.total, self.loss = key, start, ids, total, loss
+    def __init__(self, key: int | None, start: int, ids: np.ndarray, total: int, loss: int, lead: int) -> None:
+        self.key, self.start, self.ids, self.total, self.loss, self.lead = key, start, ids, total, loss, lead
+
+    @property
+    def free(self) -> int:
+        """Leading tokens that bear no loss: the lead, and what comes before the last `loss` tokens of the example."""
+        return max(self.lead, self.total - self.loss - self.start)
 
     def cost(self, n: int | None = None) -> tuple[int, int, int]:
-        """Tokens, segments and loss-bearing tokens of the first n ids; the last `loss` tokens of an example bear loss."""
+        """Tokens, segments and loss-bearing tokens of the first n ids."""
         n = len(self.ids) if n is None else n
-        return n, 1, max(0, self.start + n - max(self.start, self.total - self.loss))
+        return n, 1, max(0, n - self.free)
 
     def cut(self, n: int) -> tuple[Item, Item]:
-        return Item(self.key, self.start, self.ids[:n], self.total, self.loss), Item(self.key, self.start + n, self.ids[n:], self.total, self.loss)
+        rest = self.total, self.loss, self.lead
+        return Item(self.key, self.start, self.ids[:n], *rest), Item(self.key, self.start + n, self.ids[n:], *rest)
 
 
 class Packer:
@@ -131,105 +149,124 @@ class Packer:
 
     Pieces of a window are taken by size. Each goes to the open sequence with the largest dot product of its needs
     and what is left there, both as shares of the limits, among those that have room in all three; else a new one is
-    opened. With too many open, the fullest are filled up with cuts of the emptiest and leave. At the end the rest is
-    cut into sequences whose lengths are powers of two, so that nothing needs padding.
+    opened. With too many open, the fullest are filled up with cuts of the emptiest and leave. A sequence that leaves
+    without being full of tokens, at the end or because segments or loss-bearing tokens ran out, is cut into sequences whose
+    lengths are powers of two, so that nothing needs padding.
     """
 
-    def __init__(self, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS), window: int = WINDOW, open_bins: int = OPEN_BINS) -> None:
+    def __init__(self, limits: tuple[int, int, int] = LIMITS, window: int = WINDOW, open_bins: int = OPEN_BINS, lead: int = LEAD_TOKENS) -> None:
+        if min(limits) < 1:
+            raise ValueError("limits are at least 1")
         self.limits, self.window, self.open_bins = np.array(limits, float), window, open_bins
-        self.size, self.room, self.bins, self.waiting = limits[0], np.zeros((0, 3)), [], []
+        self.size, self.lead, self.waiting, self.bins = limits[0], lead, [], []
+        self.space = np.zeros((open_bins + window, 3))
+
+    @property
+    def room(self) -> np.ndarray:
+        """What is left in each open sequence, one row each."""
+        return self.space[: len(self.bins)]
 
     def _most(self, item: Item, room: np.ndarray) -> int:
         """How many leading ids of the item the room takes: tokens, a segment, and loss-bearing tokens."""
-        if room[1] < 1:
-            return 0
-        free = max(0, item.total - item.loss - item.start)  # ids before the loss-bearing part
-        return int(min(len(item.ids), room[0], free + room[2]))
+        return int(min(len(item.ids), room[0], item.free + room[2])) if room[1] >= 1 else 0
 
     def add(self, key: int | None, ids: np.ndarray, loss: int) -> Iterator[list[Item]]:
-        item = Item(key, 0, ids, len(ids), loss)
-        while len(item.ids) >= self.size or self._most(item, self.limits) < len(item.ids):
-            part, item = item.cut(self._most(item, self.limits))
-            yield [part]
+        item = Item(key, 0, ids, len(ids), loss, self.lead)
+        while (n := self._most(item, self.limits)) < len(item.ids) or n == self.size:
+            part, item = item.cut(n)
+            if n == self.size:
+                yield [part]
+            else:
+                self.waiting.append(part)
         if len(item.ids):
             self.waiting.append(item)
         if len(self.waiting) >= self.window:
             yield from self._place()
 
+    def _open(self) -> int:
+        if len(self.bins) == len(self.space):
+            self.space = np.concatenate([self.space, np.zeros_like(self.space)])
+        self.space[len(self.bins)] = self.limits
+        self.bins.append([])
+        return len(self.bins) - 1
+
     def _place(self) -> Iterator[list[Item]]:
         self.waiting.sort(key=lambda x: -len(x.ids))
+        scale = self.limits**-2
         for item in self.waiting:
             need = np.array(item.cost(), float)
             fits = (self.room >= need).all(1)
-            if fits.any():
-                score = ((self.room / self.limits) * (need / self.limits)).sum(1)
-                k = int(np.where(fits, score, -1.0).argmax())
-            else:
-                k = len(self.bins)
-                self.bins.append([])
-                self.room = np.vstack([self.room, self.limits])
+            k = int(np.where(fits, self.room @ (need * scale), -1.0).argmax()) if fits.any() else self._open()
             self.bins[k].append(item)
-            self.room[k] -= need
+            self.space[k] -= need
         self.waiting = []
-        while True:
-            over = len(self.bins) > self.open_bins
-            done = np.flatnonzero((self.room[:, 0] <= 0) | (self.room[:, 1] <= 0))
+        while self.bins:
+            done = np.flatnonzero((self.room[:, :2] <= 0).any(1))
             if len(done):
-                yield self._take(int(done[0]))
-            elif over:
-                yield self._fill(int(self.room[:, 0].argmin()))
+                yield from self._leave(self._take(int(done[-1])))
+            elif len(self.bins) > self.open_bins:
+                yield from self._leave(self._fill(int(self.room[:, 0].argmin())))
             else:
                 return
 
     def _take(self, k: int) -> list[Item]:
-        self.room = np.delete(self.room, k, 0)
-        return self.bins.pop(k)
+        """Takes sequence k out; the last one moves to its place."""
+        last = len(self.bins) - 1
+        self.space[k] = self.space[last]
+        self.bins[k], self.bins[last] = self.bins[last], self.bins[k]
+        return self.bins.pop()
 
     def _fill(self, k: int) -> list[Item]:
-        """Fills sequence k with cuts of the emptiest others, as far as its limits allow."""
-        room = self.room[k].copy()
+        """Fills sequence k with cuts from the emptiest others on, as far as its limits allow."""
+        room = self.space[k].copy()
         taken = self._take(k)
-        while room[0] > 0 and self.bins:
-            j = int(self.room[:, 0].argmax())
-            item = self.bins[j][-1]
-            n = self._most(item, room)
-            if n <= 0:
+        while room[0] > 0 and room[1] > 0:
+            found = next(((j, i, n) for j in np.argsort(-self.room[:, 0], kind="stable").tolist() for i in range(len(self.bins[j]) - 1, -1, -1) if (n := self._most(self.bins[j][i], room)) > 0), None)
+            if found is None:
                 break
+            j, i, n = found
+            item = self.bins[j].pop(i)
             part, rest = item.cut(n)
             taken.append(part)
             room -= part.cost()
-            self.bins[j].pop()
-            self.room[j] += item.cost()
+            self.space[j] += item.cost()
             if len(rest.ids):
                 self.bins[j].append(rest)
-                self.room[j] -= rest.cost()
+                self.space[j] -= rest.cost()
             if not self.bins[j]:
                 self._take(j)
         return taken
 
+    def _leave(self, items: list[Item]) -> Iterator[list[Item]]:
+        """Pieces of one sequence as sequences whose lengths are the largest possible powers of two."""
+        left = sum(len(x.ids) for x in items)
+        if left == self.size:
+            yield items
+            return
+        while left:
+            want, out = 1 << (left.bit_length() - 1), []
+            left -= want
+            while want:
+                part, rest = items[0].cut(min(want, len(items[0].ids)))
+                out.append(part)
+                want -= len(part.ids)
+                items[:1] = [rest] if len(rest.ids) else []
+            yield out
+
     def finish(self) -> Iterator[list[Item]]:
         yield from self._place()
         while self.bins:
-            items = self._fill(int(self.room[:, 0].argmin()))
-            left = sum(len(x.ids) for x in items)
-            while left:
-                want, out = 1 << (left.bit_length() - 1), []
-                left -= want
-                while want:
-                    part, rest = items[0].cut(min(want, len(items[0].ids)))
-                    out.append(part)
-                    want -= len(part.ids)
-                    items[:1] = [rest] if len(rest.ids) else []
-                yield out
-
-
-def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS), loss: str | None = None, with_ids: bool = True) -> DataFrame:
+            yield from self._leave(self._fill(int(self.room[:, 0].argmin())))
+
+
+def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = LIMITS, loss: str | None = None, with_ids: bool = True) -> DataFrame:
     """Packs all rows of docs (doc_id, text) into sequences; one row per piece.
 
     Ids are those of the text by the word BPE at path, then id 1. loss names a column with how many of the last tokens
-    bear loss; by default all do. Every task packs its own rows, so nothing is shuffled and a lost task is repeated alone; a
-    sequence id is the partition and a number in it. Padding: none, as the tail of each partition is cut at powers of
-    two. Null texts count as empty, null ids are kept, repeated rows are packed again, an empty table gives no piece.
+    bear loss; without it, or where it is null, all do, but for the first LEAD_TOKENS of each piece. Every task packs its own rows, so nothing is
+    shuffled and a lost task is repeated alone; a sequence id is the partition and a number in it. Padding: none, as what is
+    not full is cut at powers of two. Null texts count as empty, null ids are kept, repeated rows are packed again, equal
+    texts give equal ids, long texts are cut over many sequences, other columns are ignored, an empty table gives no piece.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(loss) if loss else F.lit(None)).cast("long").alias("loss"))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
