@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ from .common import text_batches
 WIDTH = 64
 ROWS_PER_FRAME = 1024
 DELAY_CS = 4
+#: Entries of a code table: codes have at most 12 bits.
+TABLE = 1 << 12
+#: Bytes that a canvas may take; larger ones are refused before any memory is.
+MAX_CANVAS = 1 << 28
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
 # First row and step of the four interlace passes.
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
@@ -32,17 +37,47 @@ class Frame:
     canvas: np.ndarray  # height, width, RGBA
 
 
-def lzw_encode(samples: np.ndarray) -> bytes:
-    """8-bit samples as an LZW stream that clears its table before codes grow beyond 9 bits."""
-    run = 254
-    full = -(-len(samples) // run)
-    codes = np.full((full, run + 1), 256, np.uint16)
-    padded = np.zeros(full * run, np.uint16)
-    padded[: len(samples)] = samples
-    codes[:, 1:] = padded.reshape(full, run)
-    flat = np.append(codes.ravel()[: len(samples) + full], np.uint16(257)).astype("<u2")
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return np.packbits(bits, bitorder="little").tobytes()
+@lru_cache(1)
+def _longer() -> list[int]:
+    """Code and next sample to a longer code; 0 if there is none. All 0 between two streams."""
+    return [0] * (TABLE << 8)
+
+
+def lzw_encode(samples: bytes, least: int) -> bytes:
+    """Samples below 2**least as an LZW stream; codes grow to 12 bits, and the table is cleared when it is full."""
+    clear = 1 << least
+    runs: list[list[int]] = []
+    codes: list[int] = []
+    table, used = _longer(), []
+    rest = iter(samples)
+    held, free = next(rest, -1), clear + 2
+    for sample in rest:
+        key = held << 8 | sample
+        if found := table[key]:
+            held = found
+            continue
+        codes.append(held)
+        held = sample
+        if free < TABLE:
+            table[key] = free
+            free += 1
+            used.append(key)
+        else:
+            runs.append(codes)
+            codes, free = [], clear + 2
+            for k in used:
+                table[k] = 0
+            used.clear()
+    for k in used:
+        table[k] = 0
+    if held >= 0:
+        codes.append(held)
+    runs.append(codes)
+    flat = np.concatenate([[clear, *run] for run in runs] + [[clear + 1]]).astype(np.uint16)
+    # a clear code still has the width of the run before it, the first one that of an empty table
+    widths = np.concatenate([_widths(least, 1)] + [_widths(least, len(run) + 1)[: len(run) + 1] for run in runs])
+    bits = np.unpackbits(flat.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16)[None, :] < widths[:, None]], bitorder="little").tobytes()
 
 
 def _codes(data: np.ndarray, bit: np.ndarray, width: np.ndarray | int) -> np.ndarray:
@@ -57,18 +92,41 @@ def _widths(least: int, n: int) -> np.ndarray:
     return np.maximum(least + 1, np.floor(np.log2(size)).astype(np.int64) + 1)
 
 
+def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples of the codes between two clear codes.
+
+    The entry that code k + 1 completes is the string of code k and one sample more, so it stands in the output, from where code
+    k starts. A code thus points at an earlier code, and each of its samples at an earlier sample; pointers are followed by
+    doubling until they reach samples that are codes themselves.
+    """
+    n = len(codes)
+    place, plain = np.arange(n), codes < clear
+    entry = codes.astype(np.int64) - clear - 2
+    if (~plain & ((entry < 0) | (entry >= place))).any():
+        raise ValueError("code without an entry")
+    hop, more = np.where(plain, place, entry), (~plain).astype(np.int64)
+    while not plain[hop].all():
+        more, hop = more + more[hop], hop[hop]
+    size = more + 1
+    start = np.cumsum(size) - size
+    owner = np.repeat(place, size)
+    source = np.arange(len(owner))
+    source = np.where(plain[owner], source, start[np.maximum(entry, 0)][owner] + source - start[owner])
+    while (further := source[source]).tobytes() != source.tobytes():
+        source = further
+    return codes[owner[source]].astype(np.uint8)
+
+
 def lzw_decode(stream: bytes, least: int, wanted: int) -> np.ndarray:
     """Samples of an LZW stream with codes of least + 1 to 12 bits; short streams are filled with 0.
 
-    Code widths depend only on the distance to the last clear code, so all codes between two clear codes are read at
-    once; stretches of literals are copied, others are expanded from the output itself, where each table entry
-    stands as the string of its code and the sample that follows.
+    Code widths depend only on the distance to the last clear code, so all codes between two clear codes are read at once.
     """
-    clear, out = 1 << least, bytearray()
+    clear, parts, held = 1 << least, [], 0
     data = np.frombuffer(stream + b"\0\0\0", np.uint8)
-    total, bit, guess = len(stream) * 8, 0, 256
-    while bit + least + 1 <= total and len(out) < wanted:
-        n = guess
+    total, bit = len(stream) * 8, 0
+    while bit + least + 1 <= total and held < wanted:
+        n = min(TABLE, (total - bit) // (least + 1) + 1)
         while True:
             widths = _widths(least, n)
             at = bit + np.cumsum(widths) - widths
@@ -79,39 +137,12 @@ def lzw_decode(stream: bytes, least: int, wanted: int) -> np.ndarray:
                 break
             n *= 4
         end = int(stop[0]) if len(stop) else len(codes)
-        ended = end >= len(codes) or codes[end] == clear + 1
-        bit = total if ended else int(at[end] + widths[end])
-        guess = max(16, end + 1)
-        part = codes[:end]
-        if not end:
-            continue
-        if (part < clear).all():
-            out += part.astype(np.uint8).tobytes()
-            # the same stretch again and again: read the whole grid of stretches at once
-            if not ended and end > 32 and (more := (total - bit) // (step := int(at[end] + widths[end] - at[0]))) > 1:
-                where = bit + (np.arange(more) * step)[:, None] + (at[: end + 1] - at[0])[None, :]
-                grid = _codes(data, where, widths[None, : end + 1])
-                same = (grid[:, end] == clear) & (grid[:, :end] < clear).all(1)
-                good = int(same.argmin()) if not same.all() else more
-                out += grid[:good, :end].astype(np.uint8).tobytes()
-                bit += good * step
-            continue
-        starts, sizes = [], []
-        for k, code in enumerate(part.tolist()):
-            starts.append(len(out))
-            if code < clear:
-                out.append(code)
-                sizes.append(1)
-                continue
-            entry = code - clear - 2
-            if entry >= k or entry < 0:
-                raise ValueError("code without an entry")
-            size = sizes[entry] + 1
-            piece = out[starts[entry] : starts[entry] + size]
-            out += piece if len(piece) == size else piece + piece[:1]
-            sizes.append(size)
+        bit = total if end >= len(codes) or codes[end] == clear + 1 else int(at[end] + widths[end])
+        parts.append(_expand(codes[:end], clear))
+        held += len(parts[-1])
     found = np.zeros(wanted, np.uint8)
-    found[: min(wanted, len(out))] = np.frombuffer(bytes(out[:wanted]), np.uint8)
+    out = np.concatenate([np.zeros(0, np.uint8), *parts])[:wanted]
+    found[: len(out)] = out
     return found
 
 
@@ -132,12 +163,27 @@ def _to_blocks(stream: bytes) -> bytes:
 
 
 def encode(samples: np.ndarray, width: int = WIDTH, rows_per_frame: int = ROWS_PER_FRAME, delay_cs: int = DELAY_CS) -> bytes:
-    """A grey GIF whose frames, one after another, hold the samples row by row."""
+    """A grey GIF whose frames, one after another, hold the samples row by row.
+
+    The palette holds the shades that occur. Where it has a colour to spare, that one is transparent, and a later frame shows
+    the frame before it wherever both agree, so such samples compress to almost nothing.
+    """
     rows = len(samples) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, rows_per_frame), 0xF7, 0, 0), GREY.tobytes()]
+    shades = np.unique(samples)
+    least = max(2, int(len(shades)).bit_length() if len(shades) < 256 else 8)
+    clear = len(shades) if len(shades) < 1 << least else -1
+    palette = np.zeros(1 << least, np.uint8)
+    palette[: len(shades)] = shades
+    index = np.searchsorted(shades, samples).astype(np.uint8)
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, rows_per_frame), 0xF0 | least - 1, 0, 0), np.repeat(palette, 3).tobytes()]
     for top in range(0, rows, rows_per_frame):
         height = min(rows_per_frame, rows - top)
-        out += [b"\x21\xf9\x04\x04", struct.pack("<H", delay_cs), b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, height, 0), b"\x08", _to_blocks(lzw_encode(samples[top * width : (top + height) * width]))]
+        part, old = index[top * width : (top + height) * width], index[max(0, top - rows_per_frame) * width :][: height * width]
+        see_through = top > 0 and clear >= 0
+        if see_through:
+            part = np.where(part == old, np.uint8(clear), part)
+        control = struct.pack("<BHBB", 4 | see_through, delay_cs, max(0, clear), 0)
+        out += [b"\x21\xf9\x04", control, b"\x2c", struct.pack("<HHHHB", 0, 0, width, height, 0), bytes([least]), _to_blocks(lzw_encode(part.tobytes(), least))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -152,6 +198,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         size = 2 << (packed & 7)
         common = np.frombuffer(data, np.uint8, 3 * size, at).reshape(size, 3)
         at += 3 * size
+    if high * wide * 4 > MAX_CANVAS:
+        raise ValueError("canvas too large")
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay, disposal, clear = 0, 0, -1
     while at < len(data) and data[at] != 0x3B:
@@ -172,6 +220,8 @@ def decode(data: bytes) -> Iterator[Frame]:
             at += 3 * size
         least = data[at]
         stream, at = _blocks(data, at + 1)
+        if w * h * 4 > MAX_CANVAS or not 1 <= least <= 8:
+            raise ValueError("frame too large, or odd codes")
         index = lzw_decode(stream, least, w * h).reshape(h, w)
         if packed & 0x40:
             order = [r for first, step in PASSES for r in range(first, h, step)]

@@ -3,6 +3,7 @@ import random
 import struct
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from pagewright.llm import gif
@@ -39,6 +40,69 @@ def test_grown_codes_decode():
     for least, n, k in ((8, 20_000, 256), (8, 40_000, 3), (2, 5000, 4), (4, 30_000, 16), (8, 5000, 1), (8, 100, 2)):
         s = np.array([rnd.randrange(k) for _ in range(n)], np.uint8)
         assert (gif.lzw_decode(lzw(s.tolist(), least), least, n) == s).all()
+        assert gif.lzw_encode(s.tobytes(), least) == lzw(s.tolist(), least)
+
+
+def test_text_shrinks_and_later_frames_show_through():
+    line = b"the same line of a table, again and again | "
+    samples = np.frombuffer((line * 4000)[: 64 * 2500], np.uint8)
+    media = gif.encode(samples)
+    shown = list(gif.decode(media))
+    assert len(media) < len(samples) / 8 and len(shown) == 3
+    assert b"".join(f.canvas[: f.box[3], :, 0].tobytes() for f in shown) == samples.tobytes()
+
+
+def test_brute_force_reader_of_whole_files(spark):
+    """Every stored text read by a second reader, which knows only the codes, the palette and what shows through."""
+    for text in ("", "a", "ab" * 40_000, "x" * 200_000, "".join(chr(k) for k in range(1, 3000)), "\x00\x01" * 5000):
+        raw = text.encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        data = gif.encode(np.frombuffer(payload, np.uint8))
+        assert _read(data) == payload
+
+
+def _read(data):
+    """Frames of one width laid end to end, by a plain reader."""
+    size = 2 << (data[10] & 7)
+    palette, at, out, last = data[13 : 13 + 3 * size : 3], 13 + 3 * size, b"", b""
+    while data[at] != 0x3B:
+        flags, clear = data[at + 3], data[at + 6]
+        at += 8
+        w, h = struct.unpack_from("<HH", data, at + 5)
+        least, at, stream = data[at + 10], at + 11, b""
+        while data[at]:
+            stream += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        index = _plain(stream, least)[: w * h]
+        frame = bytes(last[i] if flags & 1 and k == clear else palette[k] for i, k in enumerate(index))
+        out, last = out + frame, frame + last[len(frame) :]
+    return out
+
+
+def _plain(stream, least):
+    bits, value, at, out = least + 1, int.from_bytes(stream, "little"), 0, bytearray()
+    clear, table, old = 1 << least, [], b""
+    while True:
+        code = (value >> at) & ((1 << bits) - 1)
+        at += bits
+        if code == clear:
+            table, bits, old = [bytes([k]) for k in range(clear)] + [b"", b""], least + 1, b""
+            continue
+        if code == clear + 1:
+            return bytes(out)
+        entry = table[code] if code < len(table) else old + old[:1]
+        out += entry
+        if old and len(table) < 4096:
+            table.append(old + entry[:1])
+            bits += len(table) == 1 << bits and bits < 12
+        old = entry
+
+
+def test_huge_canvas_is_refused():
+    data = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    with pytest.raises(ValueError, match="too large"):
+        list(gif.decode(data))
 
 
 @settings(max_examples=60, deadline=None)
