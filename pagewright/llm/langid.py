@@ -16,6 +16,7 @@ from .common import held_out, sampled, text_batches
 from .tables import HashTable64
 
 DOCS_PER_LANGUAGE = 400
+DOCS_IN_ALL = 20_000
 LONGEST_PIECE = 10
 LONGEST_WORD = 48
 ROUNDS = 4
@@ -124,7 +125,9 @@ def learn(docs: DataFrame, path: str, docs_per_language: int = DOCS_PER_LANGUAGE
     """Fits the model on about docs_per_language whole documents of each language, drawn by a hash of id and text.
 
     Only rows with text and lang whose fold is not held out count. The sample is bounded by docs_per_language times the
-    number of languages, whatever the input; repeats of a text count once.
+    number of languages, and by DOCS_IN_ALL, whatever the input; repeats of a text count once, ties between languages go to the
+    first by name. Words are counted in tasks: the driver gets a row for each different word of a language, no text. Other columns
+    are not read; an empty table gives a model without languages.
     """
     good = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
@@ -132,14 +135,21 @@ def learn(docs: DataFrame, path: str, docs_per_language: int = DOCS_PER_LANGUAGE
     model = LanguageModel(langs, path)
     if not langs:
         return model
-    share = F.create_map(*chain.from_iterable((F.lit(x), F.lit(min(1.0, docs_per_language / sizes[x]))) for x in langs))
+    most = min(docs_per_language, DOCS_IN_ALL / len(langs))
+    share = F.create_map(*chain.from_iterable((F.lit(x), F.lit(min(1.0, most / sizes[x]))) for x in langs))
     sample = good.where(sampled(F.xxhash64("doc_id", F.length("text"), F.lit("langid")), share[F.col("lang")]))
-    rows = sample.select("lang", "text").dropDuplicates().collect()  # bounded, see above
-    found = [Counter() for _ in langs]
-    for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
-        found[langs.index(r["lang"])].update(w for w in words_of(r["text"]) if w.isalpha())
-    words = sorted(set().union(*found))
-    counts = np.array([[c[w] for c in found] for w in words], float).reshape(len(words), len(langs))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            found = Counter((lang, w) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) for w in words_of(t) if w.isalpha())
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+
+    rows = sample.select("lang", "text").dropDuplicates().mapInArrow(count, "lang string, word string, n long")
+    found = rows.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("word", "ascending"), ("lang", "ascending")])
+    words = found.column("word").unique().to_pylist()
+    place, column = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(langs)}
+    counts = np.zeros((len(words), len(langs)))
+    counts[[place[w] for w in found.column("word").to_pylist()], [column[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
     for _ in range(ROUNDS if words else 0):
         model.refit(words, counts)
     return model

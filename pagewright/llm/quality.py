@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import held_out, sampled, text_batches
+from .common import held_out, materialize, sampled, text_batches
 
 DOCS_PER_LABEL = 2_000
 DIM = 48
@@ -24,10 +24,13 @@ LEAST_COUNT = 3
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.7
+LEARN_TASKS = 8
 CACHE_WORDS = 150_000
 SLICE = 1 << 16
 _CORE = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(.)\1+")
+KINDS = (0, 1)  # words and shapes
+_COLUMNS = [f"v{j}" for j in range(DIM)]
 _FORM = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
 
 
@@ -52,22 +55,59 @@ def index_vector(word: str, dim: int = DIM) -> np.ndarray:
     return out
 
 
-def context_vectors(streams: list[list[str]]) -> dict[str, np.ndarray]:
-    """Random indexing: each frequent word gets the normed sum of the index vectors of its neighbours."""
-    counts = Counter(w for s in streams for w in s)
-    frequent = sorted((w for w, n in counts.items() if n >= LEAST_COUNT and w), key=lambda w: (-counts[w], w))[:VOCABULARY]
-    place = {w: i for i, w in enumerate(frequent)}
-    index = np.stack([index_vector(w) for w in frequent] or [np.zeros(DIM, np.float32)])
-    total = np.zeros_like(index)
-    for s in streams:
-        ids = np.array([place.get(w, -1) for w in s])
-        for d in range(1, REACH + 1):
-            a, b = ids[:-d], ids[d:]
-            ok = (a >= 0) & (b >= 0)
-            np.add.at(total, a[ok], index[b[ok]])
-            np.add.at(total, b[ok], index[a[ok]])
-    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    return {w: total[i] for w, i in place.items()}
+def streams_of(text: str) -> list[list[str]]:
+    """The words of a text, without marks and in lower case, and their shapes."""
+    words = text.split()
+    known = {w: (sys.intern(core_of(w)), sys.intern(form_of(w))) for w in set(words)}
+    return [[known[w][k] for w in words] for k in KINDS]
+
+
+def add_neighbours(total: np.ndarray, words: list[str], place: dict[str, int], index: np.ndarray) -> None:
+    """Adds, for each word of a vocabulary, the index vectors of its neighbours in a text to its sum."""
+    ids = np.array([place.get(w, -1) for w in words], np.int64)
+    for d in range(1, REACH + 1):
+        a, b = ids[:-d], ids[d:]
+        ok = (a >= 0) & (b >= 0)
+        np.add.at(total, a[ok], index[b[ok]])
+        np.add.at(total, b[ok], index[a[ok]])
+
+
+def context_vectors(rows: DataFrame) -> list[dict[str, np.ndarray]]:
+    """Random indexing over the texts of rows: each frequent word, and each frequent shape, gets the normed sum of the index
+    vectors of its neighbours. Counts and sums are made in tasks; the driver gets the VOCABULARY of either kind.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            found = Counter((k, w) for t in batch.column("text").to_pylist() for k, s in enumerate(streams_of(t)) for w in s if w)
+            yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "word", "n"])
+
+    counts = rows.select("text").mapInArrow(count, "kind int, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    counts = materialize(counts, "counts")
+    frequent = [[r.word for r in counts.where(F.col("kind") == k).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()] for k in KINDS]
+    index = [np.stack([index_vector(w) for w in words] or [np.zeros(DIM, np.float32)]).astype(np.int8) for words in frequent]
+    shared = rows.sparkSession.sparkContext.broadcast((frequent, index))  # two vocabularies at most
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, vectors = shared.value
+        places = [{w: i for i, w in enumerate(ws)} for ws in words]
+        total = [np.zeros((len(v), DIM), np.int64) for v in vectors]
+        for batch in text_batches(batches):
+            for t in batch.column("text").to_pylist():
+                for k, s in enumerate(streams_of(t)):
+                    add_neighbours(total[k], s, places[k], vectors[k])
+        for k in KINDS:
+            own = np.flatnonzero(total[k].any(1))
+            yield pa.record_batch([pa.array(np.full(len(own), k, np.int32)), pa.array(own), *[pa.array(total[k][own, j]) for j in range(DIM)]], ["kind", "word", *_COLUMNS])
+
+    sums = rows.select("text").mapInArrow(neighbours, "kind int, word long, " + ", ".join(f"{c} long" for c in _COLUMNS))
+    sums = sums.groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in _COLUMNS])
+    out = [np.zeros((len(v), DIM), np.float32) for v in index]
+    for r in sums.collect():  # a row per word of the vocabularies
+        out[r[0]][r[1]] = r[2:]
+    for v in out:
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    return [{w: v[i] for i, w in enumerate(words)} for words, v in zip(frequent, out, strict=True)]
 
 
 class Pooler:
@@ -155,43 +195,45 @@ class Network:
         self.temperature = float(min(np.geomspace(0.5, 8, 57), key=loss))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -> tuple[list[tuple[int, str, int]], float]:
-    """About per_label whole labelled texts for each label, drawn by a hash of the id, held-out rows excluded.
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -> tuple[DataFrame, float]:
+    """doc_id, quality, text of about per_label whole labelled texts for each label, drawn by a hash of the id, held-out rows excluded.
 
-    The number of rows is bounded by twice per_label whatever the input. A text or id counts once for each label. Also
-    returns the logarithm of the odds of label 1 among all labels that may be learned from.
+    The number of rows is bounded by twice per_label whatever the input; the texts stay in a table. An id counts once for each
+    label, with the least of its texts. Also returns the logarithm of the odds of label 1 among all labels that may be learned from.
     """
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality").distinct()
     sizes = {r["quality"]: r["n"] for r in good.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("quality") == 1, min(1.0, per_label / sizes.get(1, 1))).otherwise(min(1.0, per_label / sizes.get(0, 1)))
     chosen = good.where(sampled(F.xxhash64("doc_id", F.lit("quality")), share))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # bounded, see above
-    rows = rows.dropDuplicates(["doc_id", "quality"]).collect()
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     odds = (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)
-    return sorted({(r["doc_id"], r["text"], int(r["quality"])) for r in rows}), float(np.log(odds))
+    return materialize(rows, "sample"), float(np.log(odds))
 
 
-def learn(rows: list[tuple[int, str, int]], prior: float = 0.0) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], Network]:
-    """Word vectors, shape vectors and the network; every fifth row only calibrates.
+def learn(rows: DataFrame, prior: float = 0.0) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], Network]:
+    """Word vectors, shape vectors and the network from a sample(); every fifth row only calibrates.
 
-    Both labels weigh the same in training; prior, the true log odds, is added to the calibrated ones.
+    Both labels weigh the same in training; prior, the true log odds, is added to the calibrated ones. No text comes to the
+    driver: words are counted and features computed in tasks.
     """
-    known: dict[str, tuple[str, str]] = {}  # so that equal words share their strings
-    streams: tuple[list[list[str]], list[list[str]]] = ([], [])
-    for _, t, _ in rows:
-        words = t.split()
-        known.update({w: (sys.intern(core_of(w)), sys.intern(form_of(w))) for w in words if w not in known})
-        for k in (0, 1):
-            streams[k].append([known[w][k] for w in words])
-    del known
-    cores, forms = context_vectors(streams[0]), context_vectors(streams[1])
-    del streams
-    pooler = Pooler(cores, forms)
-    x = np.concatenate([pooler.features([t]) for _, t, _ in rows] or [np.zeros((0, 2 * DIM + 5))])
-    y = np.array([q for _, _, q in rows], float)
+    rows = rows.repartition(LEARN_TASKS, "doc_id")
+    cores, forms = context_vectors(rows)
+    shared = rows.sparkSession.sparkContext.broadcast((cores, forms))  # two vocabularies at most
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooler = Pooler(*shared.value)
+        for batch in text_batches(batches):
+            x = pooler.features(batch.column("text").to_pylist())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
+
+    found = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(features, "doc_id long, quality int, x array<float>")
+    found = sorted(found.collect(), key=lambda r: (r.doc_id, r.quality))  # a row of numbers for each text of the sample
+    x = np.array([r.x for r in found], np.float32).reshape(len(found), 2 * DIM + 5)
+    y = np.array([r.quality for r in found], float)
     net = Network(2 * DIM + 5)
     if len(set(y)) == 2:
-        rest = np.array([xxhash.xxh32_intdigest(str(i)) % 5 == 0 for i, _, _ in rows])
+        rest = np.array([xxhash.xxh32_intdigest(str(r.doc_id)) % 5 == 0 for r in found])
         rest = rest if len(set(y[rest])) == 2 and len(set(y[~rest])) == 2 else np.zeros(len(y), bool)
         net.fit(x[~rest], y[~rest])
         net.prior = prior
