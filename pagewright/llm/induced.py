@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HELD = 64 << 20
+#: Bytes that arrays and queues of one sort may hold in memory; the rest is on disk.
+HELD = 4 << 20
 
 
 class Store:

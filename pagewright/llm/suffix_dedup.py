@@ -29,6 +29,8 @@ from .induced import Store, suffixes
 LENGTH = 400
 GRAM = 160
 SHARD_BYTES = 2 << 20
+#: A partition sorts its shards one after another, so there need be no more of them than this, whatever the input.
+MOST_PARTITIONS = 4096
 SPLIT = 256
 PARTS = 8
 CROWDED = 20_000
@@ -226,26 +228,40 @@ def repeats(text: np.ndarray, starts: np.ndarray, widths: np.ndarray, length: in
         store.close()
 
 
-def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All snippets of a partition, laid end to end in a scratch file of the task, sorted and marked."""
+def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeated ranges of the snippets of a partition, shard by shard; the rows of a shard follow each other.
+
+    The snippets of a shard are laid end to end in a scratch file of the task, sorted and marked; then the file is used anew.
+    """
     with tempfile.TemporaryFile() as f:  # of this task alone, gone with it
-        keys, starts, widths, at = [], [], [], 0
+        keys: list[tuple[int, int, int]] = []
+        starts: list[int] = []
+        widths: list[int] = []
+        at, shard = 0, None
+
+        def marked() -> pa.RecordBatch:
+            f.flush()
+            found = repeats(np.memmap(f, np.uint16, "r", shape=(at,)), np.array(starts), np.array(widths))
+            keep = [(k, r) for k, r in zip(keys, found, strict=True) if r]
+            kind = pa.list_(pa.struct([("u", pa.int32()), ("v", pa.int32())]))
+            ranges = [[{"u": u + k[2], "v": v + k[2]} for u, v in r] for k, r in keep]
+            return pa.record_batch([pa.array([k[0] for k, _ in keep], pa.int64()), pa.array([k[1] for k, _ in keep], pa.int64()), pa.array(ranges, kind)], ["h", "s", "ranges"])
+
         for batch in batches:
-            for h, s, skip, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "from", "snippet")), strict=True):
+            for own, h, s, skip, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "h", "s", "from", "snippet")), strict=True):
+                if keys and own != shard:
+                    yield marked()
+                    f.seek(0)
+                    f.truncate()
+                    keys, starts, widths, at = [], [], [], 0
+                shard = own
                 (np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 1, 0)).astype(np.uint16).tofile(f)
                 keys.append((h, s, skip))
                 starts.append(at)
                 widths.append(len(raw) - LENGTH + 1)
                 at += len(raw) + 1
-        if not keys:
-            return
-        f.flush()
-        text = np.memmap(f, np.uint16, "r", shape=(at,))
-        found = repeats(text, np.array(starts), np.array(widths))
-    keep = [(k, r) for k, r in zip(keys, found, strict=True) if r]
-    kind = pa.list_(pa.struct([("u", pa.int32()), ("v", pa.int32())]))
-    ranges = [[{"u": u + k[2], "v": v + k[2]} for u, v in r] for k, r in keep]
-    yield pa.record_batch([pa.array([k[0] for k, _ in keep], pa.int64()), pa.array([k[1] for k, _ in keep], pa.int64()), pa.array(ranges, kind)], ["h", "s", "ranges"])
+        if keys:
+            yield marked()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], words: int = 0) -> Iterator[pa.RecordBatch]:
@@ -273,7 +289,9 @@ def _marks(snippets: DataFrame, crowded: int, shard_bytes: int, words: int = 0)
     usual, rest = snippets.where(~single), snippets.where(single)
     size = usual.agg(F.coalesce(F.sum(F.length("snippet")), F.lit(0))).first()[0]
     shards = 1 + size // shard_bytes
-    sorted_ = usual.select("h", "s", "from", "snippet", "key").repartition(int(shards), "key").mapInArrow(_sort_shard, "h long, s long, ranges array<struct<u:int,v:int>>")
+    dealt = usual.select("h", "s", "from", "snippet", F.pmod("key", F.lit(shards)).alias("shard"))
+    dealt = dealt.repartition(int(min(shards, MOST_PARTITIONS)), "shard").sortWithinPartitions("shard")
+    sorted_ = dealt.mapInArrow(_sort_shards, "h long, s long, ranges array<struct<u:int,v:int>>")
     marks = sorted_.select("h", "s", F.explode("ranges").alias("r")).select("h", "s", "r.u", "r.v")
     if rest.isEmpty():
         return marks

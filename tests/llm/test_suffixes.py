@@ -75,6 +75,27 @@ def test_crowded_anchors_and_small_shards(spark):
         assert [found[i] for i in range(len(texts))] == want
 
 
+def test_many_shards_in_a_partition(monkeypatch, spark):
+    texts = planted()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(S, "MOST_PARTITIONS", 1)
+    facts, gone = S.removals(docs, shard_bytes=1000)
+    found = {r.doc_id: r.n_removed or 0 for r in facts.join(gone, ["t1", "t2"], "left").collect()}
+    assert [found[i] for i in range(len(texts))] == [b[1] for b in brute(texts)]
+
+
+def test_queues_of_a_production_shard_spill(monkeypatch):
+    rnd = random.Random(8)
+    raw = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 8))) for _ in range(S.SHARD_BYTES // 6))[: S.SHARD_BYTES - 1000].encode()
+    raw += raw[5000:6000]
+    spilled, own = [], induced.Queues._spill
+    monkeypatch.setattr(induced.Queues, "_spill", lambda self, symbol: (spilled.append(symbol), own(self, symbol)))
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 1, 0).astype(np.uint16)
+    found = S.repeats(text, np.array([0]), np.array([len(raw) - S.LENGTH + 1]))
+    n = len(raw) - 1000
+    assert spilled and found == [[(5000, 5601), (n, n + 601)]]
+
+
 def test_steps_of_long_texts(monkeypatch, spark):
     monkeypatch.setattr(S, "STEP", 700)
     raw = planted()[6].encode() * 3
