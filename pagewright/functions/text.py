@@ -151,19 +151,6 @@ def letter_id(n: Column) -> Column:
     return F.when(n < 26, letter(n)).when(two < 676, F.concat(letter(F.floor(two / 26)), letter(two % 26))).otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
 
 
-def json_body(c: Column) -> Column:
-    """The JSON part of an answer: code fences go, then the array or object that starts first; else all of it."""
-    text = F.btrim(F.regexp_replace(c, r"(?is)```(?:json)?\s*\n?(.*?)\n?```", "$1"), F.lit(" \n\t\r"))
-    array, object_ = F.regexp_extract(text, r"(?s)\[.*\]", 0), F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    first = F.when(F.instr(text, "[") < F.instr(text, "{"), array).otherwise(object_)
-    return F.when((array != "") & (object_ != ""), first).when(array != "", array).when(object_ != "", object_).otherwise(text)
-
-
-def refusal(c: Column) -> Column:
-    """Whether an answer declines the task in words, without any JSON."""
-    return F.coalesce(c.rlike(r"(?i)\b(sorry|cannot|can't|unable to|do not understand)\b|抱歉|无法") & ~c.rlike(r"[\[{]"), F.lit(False))
-
-
 def ramp(start: float, end: float, step: Column, last: int) -> Column:
     """Linear from start to end, reached at step `last`."""
     return F.lit(start) + F.lit(end - start) * F.least(F.greatest(step, F.lit(0)), F.lit(last)) / F.lit(last)

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from pagewright.session import table
+from pagewright.session import scratch_folder, table
 from pagewright.streaming.metering import budget_stream, finish, windowed
 
 
 def _scratch(spark) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder, a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):

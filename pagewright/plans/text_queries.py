@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.functions import text as T
+from pagewright.functions import answers as A, text as T
 from pagewright.session import table
 from pagewright.sources.books import LAYOUTS_SQL, layouts
 
@@ -140,8 +140,10 @@ def ramps(spark, d):
 
 def answers(spark, d):
     """JSON bodies in answers, and refusals."""
-    turn = F.concat(F.element_at(F.array(F.lit("```json\n{\"a\": "), F.lit("Sorry, "), F.lit("[1] "), F.lit("")), (F.col("turn") % 4 + 1).cast("int")), F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", T.json_body(turn).alias("body"), T.refusal(turn).alias("refused"))
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    cases = [F.concat(F.lit('Here:\n```json\n{"a": "'), text, F.lit('"}\n``` [done]')), F.concat(F.lit("Sorry, "), F.col("text")), F.concat(F.lit('see [1, {"b": "]"}], {} '), F.col("text")), F.col("text")]
+    turn = F.element_at(F.array(*cases), (F.col("turn") % 4 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", A.json_body(turn).alias("body"), A.refusal(turn).alias("refused"))
 
 
 def fonts(spark, d):
@@ -214,11 +216,10 @@ ORACLE_SQL = {
     "void_tag_fix": f"SELECT page_id, md5(regexp_replace(html, '(?i)<({_VOID})\\b([^<>]*?)\\s*/?>', '<\\1\\2 />', 'g')) AS digest FROM pages",
     "param_ramps": """SELECT doc_id, round(CAST(0.2 AS DOUBLE) + CAST(0.6 AS DOUBLE) * least(doc_id % 7, 4) / 4, 6) AS ramp,
         round(CAST(1.0 AS DOUBLE) - CAST(0.8 AS DOUBLE) * pow(CAST(0.5 AS DOUBLE), doc_id % 7), 6) AS halving FROM documents""",
-    "json_answer": """WITH x AS (SELECT conv_id, turn, list_value('```json' || chr(10) || '{"a": ', 'Sorry, ', '[1] ', '')[turn % 4 + 1] || text AS t FROM conversations),
-        y AS (SELECT *, trim(regexp_replace(t, '(?is)```(?:json)?\\s*\\n?(.*?)\\n?```', '\\1', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS x FROM x),
-        z AS (SELECT *, regexp_extract(x, '(?s)\\[.*\\]') AS a, regexp_extract(x, '(?s)\\{.*\\}') AS o FROM y)
-        SELECT conv_id, turn, CASE WHEN a <> '' AND o <> '' THEN CASE WHEN instr(x, '[') < instr(x, '{') THEN a ELSE o END WHEN a <> '' THEN a WHEN o <> '' THEN o ELSE x END AS body,
-        regexp_matches(t, '(?i)\\b(sorry|cannot|can''t|unable to|do not understand)\\b|抱歉|无法') AND NOT regexp_matches(t, '[\\[{]') AS refused FROM z""",
+    "json_answer": r"""WITH x AS (SELECT conv_id, turn, text, '{"a": "' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '"}' AS inside FROM conversations),
+        y AS (SELECT *, list_value('Here:' || inside, 'Sorry, ' || text, '[1]', text)[turn % 4 + 1] AS t FROM x)
+        SELECT conv_id, turn, trim(list_value(inside, 'Sorry, ' || text, '[1, {"b": "]"}]', text)[turn % 4 + 1], ' ' || chr(10) || chr(9) || chr(13)) AS body,
+        coalesce(regexp_matches(t, '(?i)\b(sorry|cannot|can''t|unable to|do not understand)\b|抱歉|无法') AND NOT regexp_matches(t, '[\[{]'), false) AS refused FROM y""",
     "font_and_tag_tests": """SELECT doc_id, NOT regexp_matches(text, '[^\\x{0}-\\x{ff}]') AS latin1, lang AS tag, TRY_CAST(split_part(text, ' ', 1) AS INT) IS NOT NULL AS is_id FROM documents""",
     "markdown_escape": """SELECT doc_id, md5(replace(replace(text, '\\', '\\\\'), '$', '\\$')) AS digest, list_value('$', '$$', '\\(', '\\[', 'text')[doc_id % 5 + 1] AS code FROM documents""",
 }

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import json
-import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from pagewright.functions import answers
+from pagewright.operators.paragraphs import ASSETS
+from pagewright.session import scratch_folder
 
 LAYOUTS = "doc_id long, page_index int, section string, ord long, ref string, l int, t int, r int, b int, text string"
 
@@ -65,19 +71,35 @@ _RECOGNISERS: dict[str, Callable[[OcrConfig], OcrFn]] = {}
 
 
 def register_ocr(name: str, make: Callable[[OcrConfig], OcrFn]) -> None:
+    """Makes a recogniser known by name, for recogniser()."""
     _RECOGNISERS[name] = make
 
 
-def recognise(pages: DataFrame, make: Callable[[], OcrFn]) -> DataFrame:
+def recogniser(config: OcrConfig) -> Callable[[], OcrFn]:
+    """What makes the recogniser of a configuration: late, once in each task, so that models load where they run."""
+    if config.name not in _RECOGNISERS:
+        raise ValueError(f"no recogniser {config.name}; known are {sorted(_RECOGNISERS)}")
+    make = _RECOGNISERS[config.name]
+    return lambda: make(config)
+
+
+def recognise(pages: DataFrame, make: Callable[[], OcrFn] | OcrConfig) -> DataFrame:
     """Layout rows of pages (doc_id, page_index, image): the recogniser is made once per task; order is dense in each section.
 
-    Rows keep the order the recogniser gives; degenerate boxes go.
+    Rows keep the order the recogniser gives; degenerate boxes go. A recogniser may read a page in two stages, the second without
+    what the first has found: rows of stage 2 are footnotes, and assets among them go, as the first stage has them already.
     """
+    make = recogniser(make) if isinstance(make, OcrConfig) else make
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ocr = make()
         for batch in batches:
-            rows = [(p.doc_id, p.page_index, x.get("section", "body"), k, x["ref"], x["l"], x["t"], x["r"], x["b"], x["text"]) for p in batch.itertuples() for k, x in enumerate(ocr(bytes(p.image)))]
+            rows = []
+            for p in batch.itertuples():
+                for k, x in enumerate(ocr(bytes(p.image))):
+                    second = x.get("stage", 1) > 1
+                    if not (second and x["ref"] in ASSETS):
+                        rows.append((p.doc_id, p.page_index, "footnote" if second else x.get("section", "body"), k, x["ref"], x["l"], x["t"], x["r"], x["b"], x["text"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LAYOUTS.split(", ")])
 
     rows = pages.select("doc_id", "page_index", "image").mapInPandas(run, LAYOUTS).where("l < r AND t < b")
@@ -85,6 +107,13 @@ def recognise(pages: DataFrame, make: Callable[[], OcrFn]) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(order) - 1)
 
 
+def image_pages(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
+    """doc_id, page_index, image of page images `<document number>/<page number>.<type>` under a path, for recognise()."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    part = lambda k: F.regexp_extract("path", r"(\d+)/\D*(\d+)\.[^./]+$", k)
+    return files.select(part(1).cast("long").alias("doc_id"), part(2).cast("int").alias("page_index"), F.col("content").alias("image")).where("page_index IS NOT NULL")
+
+
 class Exhausted(RuntimeError):
     """All tries failed; holds the last answer and error."""
 
@@ -113,26 +142,21 @@ def repair_loop(messages: list[dict[str, str]], request: LlmFn, check: Callable[
     raise Exhausted(str(error), attempts, response)
 
 
-_FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)\n?```", re.I | re.S)
-
-
-def json_of(response: str) -> Any:
-    """The JSON value of an answer; ValueError if there is none."""
-    text = _FENCE.sub(r"\1", response).strip()
-    found = [m for m in (re.search(r"\[[\s\S]*\]", text), re.search(r"\{[\s\S]*\}", text)) if m]
-    return json.loads(min(found, key=lambda m: m.start())[0] if found else text)
+def guaranteed_json(messages: list[dict[str, str]], request: LlmFn, accept: Callable[[Any], Any], attempts: int = 13, shape: Any = None) -> Any:
+    """A JSON answer of the given shape (see answers.faults) that accept takes; accept raises ValueError for business errors.
 
-
-def guaranteed_json(messages: list[dict[str, str]], request: LlmFn, accept: Callable[[Any], Any], attempts: int = 13) -> Any:
-    """A JSON answer that accept takes; accept raises ValueError for business errors. A refusal in words ends the loop early."""
+    Each kind of fault gets feedback of its own; a second refusal in words ends the loop early.
+    """
 
     def check(response: str, k: int) -> Any:
         try:
-            value = json_of(response)
+            value = answers.json_value(response)
         except ValueError:
-            if k >= 1 and re.search(r"\b(sorry|cannot|can't|unable to|do not understand)\b|抱歉|无法", response, re.I) and not re.search(r"[\[{]", response):
-                raise Exhausted("answered in words instead of JSON", k + 1, response) from None
-            raise ValueError("Return complete valid JSON only; do not explain.") from None
+            if k > 0 and answers.declines(response):
+                raise Exhausted("the model declines", k + 1, response) from None
+            raise ValueError("This could not be read as JSON. Answer with one JSON value and nothing around it.") from None
+        if shape is not None and (wrong := answers.faults(value, shape)):
+            raise ValueError("The JSON has another shape than asked for. " + "; ".join(wrong) + ". Answer with the whole value again.")
         return accept(value)
 
     return repair_loop(messages, request, check, attempts)
@@ -150,11 +174,36 @@ def translate(rows: DataFrame, column: str, make: Callable[[], Callable[[list[st
     return rows.withColumn(column, run(F.col(column)))
 
 
-def patch(replacements: DataFrame, fits: Callable[[dict[str, Any]], bool], write: Callable[[Iterable[dict[str, Any]]], None]) -> int:
-    """Two phases: all replacements are checked first, and nothing is drawn if one does not fit; then documents are written in tasks."""
-    check = F.udf(lambda r: bool(fits(r.asDict())), "boolean")
-    bad = replacements.where(~check(F.struct("*"))).limit(5).collect()
+def patch(replacements: DataFrame, fits: Callable[[dict[str, Any]], bool], write: Callable[[Iterable[dict[str, Any]]], None], path: str | None = None) -> int:
+    """Two phases: all replacements are checked first, and nothing is drawn if one does not fit; then documents are written in tasks.
+
+    The checked rows are stored once, under `path` or the session's shared folder, so the plan below runs once; the count is that of
+    the rows that were written.
+    """
+    names, spark = replacements.columns, replacements.sparkSession
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([bool(fits(r)) for r in batch.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, good], [*names, "_fits"])
+
+    target = path or f"{scratch_folder(spark)}/patch-{uuid.uuid4().hex}"
+    schema = StructType([*replacements.schema.fields, StructField("_fits", BooleanType())])
+    replacements.mapInArrow(check, schema).write.mode("overwrite").parquet(target)
+    rows = spark.read.schema(schema).parquet(target)
+    bad = rows.where("NOT _fits").drop("_fits").limit(5).collect()
     if bad:
         raise ValueError(f"{len(bad)} or more replacements do not fit, among them {bad[0].asDict()}")
-    replacements.repartition("doc_id").sortWithinPartitions("doc_id", "page_index", "ord").foreachPartition(lambda rows: write(r.asDict() for r in rows))
-    return replacements.count()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One call of the writer for each document; its rows are next to each other."""
+        rows_in = (r for batch in batches for r in batch.to_pylist())
+        n = 0
+        for _, own in groupby(rows_in, key=lambda r: r["doc_id"]):
+            held = list(own)
+            write(held)
+            n += len(held)
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    dealt = rows.drop("_fits").repartition("doc_id").sortWithinPartitions("doc_id", "page_index", "ord")
+    return dealt.mapInArrow(draw, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -5,6 +5,7 @@ import pytest
 
 from pagewright import plugins
 from pagewright.api import Conversion
+from pagewright.functions import answers
 from pagewright.sources import epub, package
 from pagewright.sources.books import layouts
 from pagewright.streaming import metering
@@ -62,6 +63,44 @@ def test_loops():
     assert "secret" not in repr(plugins.LlmConfig("u", "m", "secret"))
 
 
+def test_json_in_answers():
+    for answer, want in (
+        ('```json\n{"a": [1, "}"]}\n``` and {"b": 2}', {"a": [1, "}"]}),
+        ("x ] {'a': True, b: [1, 2,], } tail", {"a": True, "b": [1, 2]}),
+        ('so: [{"k": "v\\"]"}, 3', [{"k": 'v"]'}, 3]),
+        (" 7 ", 7),
+    ):
+        assert answers.json_value(answer) == want
+    for answer in ("", "nothing here", "{'a' 1}"):
+        with pytest.raises(ValueError):
+            answers.json_value(answer)
+    assert answers.json_text(None) is None and answers.declines("Sorry, no.") and not answers.declines("sorry [1]")
+    shape = {"levels": [int], "note?": str, "more": {"*": bool}}
+    assert answers.faults({"levels": [1, 2], "more": {"x": True}}, shape) == []
+    assert len(answers.faults({"levels": [True, "a"], "more": [], "z": 1}, shape)) == 4
+
+
+def test_shapes_get_feedback():
+    said = []
+
+    def ask(messages):
+        said.append(messages[-1]["message"])
+        return ['{"n": "1"}', '{"n": 1}'][len(said) - 1]
+
+    assert plugins.guaranteed_json([{"role": "user", "message": "q"}], ask, lambda v: v["n"], shape={"n": int}) == 1 and "value.n" in said[1]
+
+
+def test_recognisers_by_name(spark, tmp_path):
+    for doc, page in ((1, 1), (1, 2), (7, 1)):
+        (tmp_path / str(doc)).mkdir(exist_ok=True)
+        (tmp_path / str(doc) / f"page_{page}.png").write_bytes(b"x" * page)
+    plugins.register_ocr("count", lambda config: lambda image: [{"ref": "text", "l": 0, "t": 0, "r": 1, "b": 1, "text": config.size * len(image)}, {"ref": "image", "l": 0, "t": 0, "r": 1, "b": 1, "text": "", "stage": 2}, {"ref": "text", "l": 0, "t": 0, "r": 1, "b": 1, "text": "note", "stage": 2}])
+    found = plugins.recognise(plugins.image_pages(spark, str(tmp_path)), plugins.OcrConfig("count", model_path="m", size="z")).collect()
+    assert sorted((r.doc_id, r.page_index, r.section, r.ord, r.text) for r in found) == [(1, 1, "body", 0, "z"), (1, 1, "footnote", 0, "note"), (1, 2, "body", 0, "zz"), (1, 2, "footnote", 0, "note"), (7, 1, "body", 0, "z"), (7, 1, "footnote", 0, "note")]
+    with pytest.raises(ValueError, match="no recogniser"):
+        plugins.recogniser(plugins.OcrConfig("other", url="u"))
+
+
 def test_patch_checks_all_first(spark):
     rows = spark.createDataFrame([(1, 1, 0, "a"), (1, 1, 1, "bb")], "doc_id int, page_index int, ord int, text string")
     with pytest.raises(ValueError):
