@@ -43,9 +43,31 @@ def is_inline(e: Element) -> bool:
     return plain(e.tag) in INLINE
 
 
+_HEADER = re.compile(r"\A\s*(?:<\?.*?\?>\s*)?(?:<!DOCTYPE[^>]*>\s*)?", re.S)
+_PREFIX = re.compile(r"""\bxmlns(?::([A-Za-z_][\w.-]*))?\s*=\s*["']([^"']+)["']""")
+
+
+def header(xml: str) -> str:
+    """What stands before the root of a document: its declaration and type."""
+    return _HEADER.match(xml)[0]
+
+
 def parse(xml: str) -> Element:
-    """The root of a document; named entities of HTML are understood, a header before the root is skipped."""
-    return ElementTree.fromstring(numeric_entities(re.sub(r"\A\s*(?:<\?.*?\?>\s*)?(?:<!DOCTYPE[^>]*>\s*)?", "", xml, flags=re.S)))
+    """The root of a document; named entities of HTML are understood, a header before the root is skipped.
+
+    Prefixes of namespaces are kept for writing: the first of an address counts.
+    """
+    for prefix, address in reversed(_PREFIX.findall(xml)):
+        if not re.fullmatch(r"ns\d+|xml", prefix):
+            ElementTree.register_namespace(prefix, address)
+    return ElementTree.fromstring(numeric_entities(xml[_HEADER.match(xml).end() :]))
+
+
+def indent(root: Element, step: str = "  ") -> Element:
+    """A copy with one element a line, for reading; text that is not blank is left alone."""
+    root = copy.deepcopy(root)
+    ElementTree.indent(root, step)
+    return root
 
 
 def segments(root: Element) -> list[Segment]:

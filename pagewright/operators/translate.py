@@ -60,7 +60,7 @@ def translate_documents(docs: DataFrame, key: str, xml: str, make: Callable[[],
     @F.pandas_udf("string")
     def write(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xmls, texts in batches:
-            yield pd.Series([x if t is None else markup.unique_ids(markup.submit(x, list(t), mode)) for x, t in zip(xmls, texts, strict=True)])
+            yield pd.Series([x if t is None else markup.header(x) + markup.unique_ids(markup.submit(x, list(t), mode)) for x, t in zip(xmls, texts, strict=True)])
 
     return docs.join(new, key, "left").withColumn(xml, write(F.col(xml), F.col("_new"))).drop("_new")
 

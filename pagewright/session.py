@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read back: made once, with a short lineage that survives lost executors."""
+    path = f"{scratch_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path may be on any filesystem Spark reads."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

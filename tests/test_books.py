@@ -13,9 +13,12 @@ from pagewright.streaming import metering
 
 def test_conversion(spark):
     rows = layouts(spark, "/root/testdata/sf0.001").where("book = 0").drop("doc_id")
-    made = Conversion(rows).then(lambda r: r.where("text <> ''"))
+    made = Conversion(rows).then(lambda found: found.where("size(texts) > 0"))
     out = made.markdown().collect()
     assert len(out) == 1 and out[0].markdown.count("\n\n") > 50 and out[0].markdown.lstrip().startswith("#")
+    # every word of the books is there, but for contents pages
+    words = sorted(w for r in rows.collect() for w in r.text.replace("\\", "").split())
+    assert sorted(w for w in out[0].markdown.replace("\\", "").split() if set(w) != {"#"}) == words
     book = made.epub().collect()[0]
     assert zipfile.ZipFile(io.BytesIO(bytes(book.content))).namelist()[0] == "mimetype"
 
