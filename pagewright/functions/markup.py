@@ -186,7 +186,7 @@ def friendly(root: Element, wide: int = 35) -> str:
 
     def write(e: Element, indent: str) -> Iterator[str]:
         attributes = "".join(f' {plain(k)}="{_escape(v)}"' for k, v in e.attrib.items())
-        name, inner = plain(e.tag), "".join(_inline(x) for x in [e])
+        name, inner = plain(e.tag), _inline(e).strip()
         if not len(e) and not (e.text or "").strip():
             yield f"{indent}<{name}{attributes}/>"
         elif len(inner) <= wide or not len(e) or any((x.tail or "").strip() for x in e):
@@ -207,7 +207,7 @@ def _escape(text: str) -> str:
 
 
 def _inline(e: Element) -> str:
-    out = [_escape(" ".join((e.text or "").split()))]
+    out = [_escape(re.sub(r"\s+", " ", e.text or ""))]
     for c in e:
         attributes = "".join(f' {plain(k)}="{_escape(v)}"' for k, v in c.attrib.items())
         body = _inline(c)

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewright.functions import markup
+from pagewright.functions import fill, markup
 from pagewright.functions.parsers import arrow
+from pagewright.session import stored
 
 from .flow import estimate_tokens, pack
 
@@ -68,3 +69,43 @@ def translate_documents(docs: DataFrame, key: str, xml: str, make: Callable[[],
 def cache_key(model: str, url: str, messages: Column, temperature: float, top_p: float) -> Column:
     """512-bit key of a request: everything that shapes the answer, as JSON with sorted names."""
     return F.sha2(F.to_json(F.struct(messages.alias("messages"), F.lit(model).alias("model"), F.lit(temperature).alias("temperature"), F.lit(top_p).alias("top_p"), F.lit(url).alias("url"))), 512)
+
+
+def fill_documents(docs: DataFrame, key: str, xml: str, make: Callable[[], tuple[Callable[[str], str], Callable[[list[dict[str, str]]], str]]], attempts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """docs with the XML column translated by fill.fill(), and the answers that did not do: key, attempt, message, over.
+
+    make gives the two calls, to translate a text and to answer messages, once in each task.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        say, ask = make()
+        for batch in batches:
+            out = []
+            for own, text in zip(batch[key], batch[xml], strict=True):
+                events: list[dict] = []
+                note = lambda e, events=events: events.append({"attempt": e.attempt, "message": e.message, "over": e.over})
+                out.append((own, text if text is None else fill.fill(text, say, ask, attempts, note), events))
+            yield pd.DataFrame(out, columns=[key, "_new", "_events"])
+
+    made = stored(docs.select(key, xml).mapInPandas(run, f"{key} {kind}, _new string, _events array<struct<attempt:int,message:string,over:boolean>>"), "filled")
+    events = made.select(key, F.explode("_events").alias("e")).select(key, "e.*")
+    return docs.join(made.select(key, "_new"), key, "left").withColumn(xml, F.col("_new")).drop("_new"), events
+
+
+def fault_column(want: Column, got: Column) -> Column:
+    """Faults of answers against templates, both as XML: block, kind, level, in the order they are found; null for what is not well-formed."""
+
+    def one(pair: dict | None) -> list[dict] | None:
+        try:
+            found = fill.faults(markup.parse(pair["want"]), markup.parse(pair["got"]))
+        except (markup.ElementTree.ParseError, TypeError):
+            return None
+        return [{"block": f.block, "kind": f.kind, "level": f.level} for f in found]
+
+    @F.pandas_udf("array<struct<block:int,kind:string,level:int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for w, g in batches:
+            yield pd.Series([one({"want": a, "got": b}) for a, b in zip(w, g, strict=True)])
+
+    return run(want, got)
