@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import groupby, pairwise
 from typing import Any, Protocol
 
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from pagewright.functions import answers
+from pagewright.operators import flow
 from pagewright.operators.paragraphs import ASSETS
 from pagewright.session import scratch_folder
 
@@ -162,6 +163,52 @@ def guaranteed_json(messages: list[dict[str, str]], request: LlmFn, accept: Call
     return repair_loop(messages, request, check, attempts)
 
 
+LEVELS_PROMPT = """These are the headings of a book, numbered from 0. Give each its level: 0 for the highest, at most 5, and -1 for what is no heading. A level is at most 2 deeper than the one before it.
+Answer with RESULT: and one JSON object that maps every number to its level."""
+
+
+def levels_of(answer: str, n: int) -> list[int]:
+    """Levels of n headings in an answer, shifted so that the least is 0 and cut at the last one kept; -1 marks noise. ValueError with
+    feedback if a number is missing or not asked for, a level is no whole number or out of range, or one is too deep.
+    """
+    value = answers.json_value(answer.rpartition("RESULT:")[2])
+    wrong = answers.faults(value, {str(k): int for k in range(n)}, "levels")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    levels = [value[str(k)] for k in range(n)]
+    low, high = flow.LEVEL_RANGE
+    real = [v for v in levels if v >= 0]
+    if any(not low <= v <= high for v in levels):
+        raise ValueError(f"levels are from {low} to {high}")
+    if real and real[0] > 1 or any(b - a > flow.LEVEL_JUMP for a, b in pairwise(real)):
+        raise ValueError(f"a level is at most {flow.LEVEL_JUMP} deeper than the one before it, and the first is 0 or 1")
+    least = min(real, default=0)
+    return [min(v - least, flow.LAST_LEVEL) if v >= 0 else -1 for v in levels]
+
+
+def level_asker(make: Callable[[], LlmFn], attempts: int = 3) -> Callable[[DataFrame], DataFrame]:
+    """What Conversion takes as `levels`: asks a model for the levels of the titles of each book, with feedback on answers that do not do.
+
+    Books for which no answer does have no rows, so the sizes of their titles decide.
+    """
+
+    def levels(titles: DataFrame) -> DataFrame:
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["page_index", "ord"])
+            listed = "\n".join(f"{k}. {t}" for k, t in enumerate(rows.title))
+            messages = [{"role": "system", "message": LEVELS_PROMPT}, {"role": "user", "message": listed}]
+            try:
+                found = repair_loop(messages, make(), lambda answer, k: levels_of(answer, len(rows)), attempts)
+            except Exhausted:
+                return rows[["book", "page_index", "ord"]].head(0).assign(level=pd.Series(dtype="int64"))
+            return rows[["book", "page_index", "ord"]].assign(level=found)
+
+        kinds = ", ".join(f"{c} {titles.schema[c].dataType.simpleString()}" for c in ("book", "page_index", "ord"))
+        return titles.select("book", "page_index", "ord", "title").groupBy("book").applyInPandas(one, f"{kinds}, level long")
+
+    return levels
+
+
 def translate(rows: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
     """Replaces a text column by what a supplied function makes of it, batch by batch."""
 

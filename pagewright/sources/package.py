@@ -47,3 +47,18 @@ def merge_sizes(old: DataFrame, new: DataFrame) -> DataFrame:
     from pagewright.operators.flow import merge_maps
 
     return merge_maps(old, new, ["doc_id", "page_index"], ["width", "height"])
+
+
+def page_xml(layouts: DataFrame) -> DataFrame:
+    """doc_id, page_index, xml of layout rows (doc_id, page_index, section, ord, ref, l, t, r, b, text), as read_page_xml() reads it.
+
+    Rows of a page stand in the order of section and ord; an order with gaps fails, as it could not be read back.
+    """
+    escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    box = F.concat_ws(",", *[F.col(c).cast("string") for c in "ltrb"])
+    line = F.format_string('<layout ref="%s" order="%d" section="%s" det="%s"><text>%s</text></layout>', escape(F.col("ref")), F.col("ord").cast("long"), "section", box, escape(F.coalesce("text", F.lit(""))))
+    rows = layouts.groupBy("doc_id", "page_index", "section").agg(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))).alias("x"))
+    dense = F.forall(F.zip_with(F.col("x.ord"), F.sequence(F.lit(0), F.size("x") - 1), lambda a, b: a == b), lambda same: same)
+    rows = rows.withColumn("x", F.when(dense, F.col("x")).otherwise(F.raise_error(F.lit("the order of a page has gaps"))))
+    pages = rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("section", F.array_join("x.line", "").alias("lines")))).alias("s"))
+    return pages.select("doc_id", "page_index", F.concat(F.format_string('<page index="%d">', F.col("page_index").cast("long")), F.array_join("s.lines", ""), F.lit("</page>")).alias("xml"))

@@ -44,6 +44,16 @@ def test_page_xml_and_faults(spark, tmp_path):
     assert {r.fault for r in package.faults(pages, lay).collect()} == {"page number", "page size", "unknown page", "order"}
 
 
+def test_page_xml_round_trip(spark, tmp_path):
+    rows = [(1, 1, "body", 0, "text", 1, 2, 3, 4, 'a <b> & "c"'), (1, 1, "body", 1, "table", 1, 2, 3, 5, ""), (1, 1, "footnote", 0, "text", 0, 0, 9, 9, "n")]
+    lay = spark.createDataFrame(rows, "doc_id long, page_index int, section string, ord int, ref string, l int, t int, r int, b int, text string")
+    (tmp_path / "p.xml").write_text(package.page_xml(lay).collect()[0].xml)
+    back = package.read_page_xml(spark, str(tmp_path / "p.xml")).collect()
+    assert sorted((1, r.page_index, r.section, r.ord, r.ref, r.l, r.t, r.r, r.b, r.text or "") for r in back) == sorted(rows)
+    with pytest.raises(Exception, match="gaps"):
+        package.page_xml(lay.where("ord = 1")).collect()
+
+
 def test_recognise(spark):
     pages = spark.createDataFrame([(1, 1, bytearray(b"ab"))], "doc_id long, page_index int, image binary")
     make = lambda: lambda image: [{"ref": "text", "l": 0, "t": 0, "r": 5, "b": 5, "text": "x"}, {"ref": "text", "l": 5, "t": 0, "r": 5, "b": 5, "text": "flat"}, {"ref": "text", "l": 0, "t": 0, "r": 9, "b": 9, "text": "y", "section": "body"}]
@@ -93,6 +103,19 @@ def test_shapes_get_feedback():
     assert plugins.guaranteed_json([{"role": "user", "message": "q"}], ask, lambda v: v["n"], shape={"n": int}) == 1 and "value.n" in said[1]
 
 
+def test_levels_by_a_model(spark):
+    assert plugins.levels_of('RESULT: {"0": 1, "1": -1, "2": 3}', 3) == [0, -1, 2] and plugins.levels_of('{"0": 0, "1": 2, "2": 4, "3": 5}', 4) == [0, 2, 3, 3]
+    for bad in ("none", '{"0": 0}', '{"0": 0, "1": 3}', '{"0": true, "1": 0}', '{"0": 2, "1": 2}', '{"0": 0, "1": 9}', '{"0": 0, "1": 1, "2": 1}'):
+        with pytest.raises(ValueError):
+            plugins.levels_of(bad, 2)
+    titles = spark.createDataFrame([(1, 1, 0, "a"), (1, 2, 0, "b"), (2, 1, 0, "lost")], "book long, page_index long, ord long, title string")
+
+    def make():
+        return lambda messages: "Sorry, no." if "lost" in messages[1]["message"] else '{"0": 0}' if len(messages) == 2 else '{"0": 0, "1": 1}'
+
+    assert sorted(tuple(r) for r in plugins.level_asker(make)(titles).collect()) == [(1, 1, 0, 0), (1, 2, 0, 1)]
+
+
 def test_recognisers_by_name(spark, tmp_path):
     for doc, page in ((1, 1), (1, 2), (7, 1)):
         (tmp_path / str(doc)).mkdir(exist_ok=True)
