@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,12 +34,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() wrote; call it once the results are stored."""
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the tables that materialize() writes inside."""
+    start, made = len(_SCRATCH), list[str]()
+    yield made
+    made += _SCRATCH[start:]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes the tables that materialize() wrote, all or some; call it once the results are stored."""
     jvm = spark.sparkContext._jvm
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for name in list(_SCRATCH if paths is None else paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _SCRATCH:
+            _SCRATCH.remove(name)
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:

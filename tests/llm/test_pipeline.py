@@ -1,6 +1,6 @@
 import corpus_pipeline as C
 import __spark_entry__ as entry
-from pagewright.llm import simhash
+from pagewright.llm import common, similar
 from pagewright.session import table
 
 
@@ -23,12 +23,33 @@ def test_each_stage_decides(spark):
         if name == "language":
             assert gone.where("text rlike '[a-z]{4}'").count() <= 2
         if name == "near_duplicates":
-            groups = simhash.query(before).groupBy("component_id").count().count()
-            assert docs.count() == groups
+            groups = similar.near_duplicates(before).select("component_id").distinct().count()
+            assert docs.count() == groups < before.count()
         if name == "repeated_strings":
             assert docs.count() == before.count()
 
 
+def test_scratch_of_a_stage_goes_with_the_next(spark):
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    first = dict(C.STAGES)["near_duplicates"](spark, docs, d)
+    made = list(C._LEFT[spark.sparkContext.applicationId])
+    lazy = dict(C.STAGES)["repeated_strings"](spark, first, d)  # still reads what the first has left
+    assert made and set(made) <= set(common._SCRATCH) and lazy.count() == first.count()
+    kept = C.materialize(lazy, "kept")
+    dict(C.STAGES)["packing"](spark, kept, d)
+    assert not set(made) & set(common._SCRATCH) and kept.count() > 0
+
+
+def test_quality_stage_on_odd_documents(spark, odd_docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (7, 1, 0), (8, 0, 1), (None, 1, 0), (3, None, 0)], "doc_id long, quality long, toxic long")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd_docs, no_docs):
+        rows = docs.withColumnRenamed("score", "source").withColumnRenamed("size", "n_chars")
+        found = C.by_quality(spark, rows, str(tmp_path))
+        assert found.columns == rows.columns and found.count() <= rows.count()
+
+
 def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
