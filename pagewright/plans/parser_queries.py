@@ -67,6 +67,9 @@ ORACLE_SQL = {
         r AS (SELECT doc_id, c, n, unnest(range(2, 21)) AS k FROM c), e AS (SELECT doc_id, k, CASE WHEN k <= 5 THEN 16 ELSE 8 END AS times, array_to_string(list_transform(range(1, n - k + 1), lambda i: CASE WHEN c[i] = c[i + k] THEN '1' ELSE '0' END), '') AS s FROM r WHERE n > k)
         SELECT DISTINCT doc_id FROM e WHERE contains(s, repeat('1', CAST(k * (times - 1) AS INT)))""",
     "latex_roundtrip": r"SELECT doc_id, md5(text) AS plain, md5(replace(replace(text, '\', '\\'), '$', '\$')) AS markdown FROM documents",
+    "latex_tokens": r"""WITH x AS (SELECT doc_id, regexp_extract_all(text, '\$\$(?s:.*?)\$\$|\$[^\n$]*\$') AS m, list_filter(regexp_split_to_array(text, '\$\$(?s:.*?)\$\$|\$[^\n$]*\$'), lambda p: p <> '') AS p, regexp_matches(text, '^(\$\$(?s:.*?)\$\$|\$[^\n$]*\$)') AS first FROM documents WHERE contains(text, '$')),
+        y AS (SELECT *, CASE WHEN len(m) > 0 THEN CASE WHEN starts_with(m[1], '$$') AND length(m[1]) >= 4 THEN substr(m[1], 3, length(m[1]) - 4) ELSE substr(m[1], 2, length(m[1]) - 2) END END AS e FROM x)
+        SELECT doc_id, CAST(len(m) + len(p) AS BIGINT) AS n_tokens, md5(CASE WHEN first THEN e ELSE p[1] END) AS first_leaf, e AS expression FROM y""",
     "html_tag_policy": f"""WITH t AS (SELECT lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1))) AS tag FROM pages)
         SELECT tag, count(*) AS n, CASE WHEN tag IN ({_quoted(X.FILTERED_TAGS)}) THEN 'filter' WHEN tag IN ({_quoted(X.DISSOLVED_TAGS)}) THEN 'dissolve' WHEN tag IN ({_quoted(X.ALLOWED_TAGS)}) THEN 'allow' ELSE 'escape' END AS action FROM t GROUP BY tag""",
     "html_table_gfm": f"""WITH x AS (SELECT doc_id, source, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body, replace(trim(regexp_replace(text, '[{T.SPACE}]+', ' ', 'g'), ' '), '|', '\\|') AS cell FROM documents)

@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from pagewright import runs
+from pagewright import cli, runs
 from pagewright.sources import chapters, epub
 
 
@@ -89,3 +89,13 @@ def test_chapters_as_xml(spark):
     made = chapters.chapter_xml(rows, notes)
     back = {r.chapter_id: r for r in chapters.from_xml(made).collect()}
     assert [e.kind for e in back[5].elements] == ["text", "table"] and [n.text for n in back[5].notes] == ["note"] and back[None].level == 1 and not back[None].notes
+
+
+def test_command_line(tmp_path, capsys):
+    (tmp_path / "a.md").write_text("![x](b.png)")
+    assert cli.main(["check", str(tmp_path / "a.md")]) == 1 and "b.png" in capsys.readouterr().out
+    (tmp_path / "b.png").write_bytes(b"x")
+    assert cli.main(["check", str(tmp_path / "a.md")]) == 0
+    (tmp_path / "m.json").write_text(json.dumps({"runs": [{"asset": "a", "route": ["x", "y"]}]}))
+    assert cli.main(["smoke", str(tmp_path / "m.json"), "--folder", str(tmp_path / "out")]) == 0 and "a y" in capsys.readouterr().out
+    assert len(list((tmp_path / "out").glob("*/checks.json"))) == 2
