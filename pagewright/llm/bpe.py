@@ -291,7 +291,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids, in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs (doc_id, text): encoded, then decoded from the ids, in one pass.
+
+    Null texts count as empty, null ids are kept, repeated rows stay and equal texts give equal digests; a long text is encoded as a
+    whole; other columns are ignored, whatever their names; an empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)

@@ -300,7 +300,11 @@ def stored(text: str | None) -> tuple:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Every text stored as a GIF and read back; null texts count as empty."""
+    """Every text of docs (doc_id, text) stored as a GIF and read back.
+
+    Null texts count as empty, null ids are kept, repeated rows stay and equal texts give equal values; a long text becomes many
+    frames; other columns are ignored, whatever their names; an empty table gives no row.
+    """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
