@@ -288,7 +288,8 @@ def _marks(snippets: DataFrame, crowded: int, shard_bytes: int, words: int = 0)
     single = (F.col("c") > crowded) | (F.col("from") == WORDS)
     usual, rest = snippets.where(~single), snippets.where(single)
     size = usual.agg(F.coalesce(F.sum(F.length("snippet")), F.lit(0))).first()[0]
-    shards = 1 + size // shard_bytes
+    # at least a shard for each task that a shuffle makes, so that small inputs spread too
+    shards = max(1 + size // shard_bytes, int(snippets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = usual.select("h", "s", "from", "snippet", F.pmod("key", F.lit(shards)).alias("shard"))
     dealt = dealt.repartition(int(min(shards, MOST_PARTITIONS)), "shard").sortWithinPartitions("shard")
     sorted_ = dealt.mapInArrow(_sort_shards, "h long, s long, ranges array<struct<u:int,v:int>>")
