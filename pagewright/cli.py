@@ -11,7 +11,7 @@ from pagewright import runs
 from pagewright.api import Conversion
 from pagewright.functions import markup
 from pagewright.plans import registry
-from pagewright.session import local_session
+from pagewright.session import drop_stored, local_session
 from pagewright.sources.epub import translate_epubs
 
 
@@ -67,6 +67,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         made = Conversion(spark.read.parquet(args.layouts))
         (made.markdown() if args.to == "markdown" else made.epub()).write.parquet(args.output)
+        drop_stored(spark)
     return 0
 
 
