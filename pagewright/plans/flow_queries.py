@@ -174,8 +174,9 @@ def eligible(spark, d):
 def answers(spark, d):
     """Level answers checked, normalised and cut."""
     cases = ['RESULT: {"0": 1, "1": 2, "2": -1}', '{"0": true, "1": 1, "2": 1}', '{"0": 0, "1": 3, "2": 1}', '{"0": 0, "2": 1}', "no answer", '{"0": 0, "1": 1, "2": 2, "3": 1}', '{"0": 0, "1": 9, "2": 1}']
-    text = F.element_at(F.array(*map(F.lit, cases)), (F.col("doc_id") % len(cases) + 1).cast("int"))
-    levels, error = flow.title_levels(text, F.lit(3))
+    odd = F.element_at(F.array(*map(F.lit, cases)), (F.col("doc_id") % len(cases) + 1).cast("int"))
+    own = F.format_string('RESULT: {"2": %d, "0": %d,\n"1": %d}', F.length("text") % 8 - 1, F.col("doc_id") % 5 - 1, F.length("source") % 7 - 1 + F.col("doc_id") % 2)
+    levels, error = flow.title_levels(F.when(F.col("doc_id") % 3 == 0, odd).otherwise(own), F.lit(3))
     return table(spark, d, "documents").select("doc_id", F.array_join(levels.cast("array<string>"), ",").alias("levels"), error.alias("error"))
 
 
@@ -291,7 +292,11 @@ ORACLE_SQL = {
     "chapter_order": """WITH x AS (SELECT doc_id // 50 AS book, doc_id % 50 AS k FROM documents) SELECT book, CASE WHEN k = 7 THEN 'chapter_head.xml' ELSE 'chapter_' || k || '.xml' END AS file,
         row_number() OVER (PARTITION BY book ORDER BY CASE WHEN k = 7 THEN -1 ELSE k END) AS place FROM x""",
     "patch_eligible": f"""WITH {LAYOUTS_SQL} SELECT book, page_index, count(*) AS n, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS ords FROM layouts WHERE trim(text) <> '' AND ord % 3 <> 0 AND upper(text) <> text AND l < r AND t < b AND r <= 950 GROUP BY ALL""",
-    "title_level_answers": """SELECT doc_id, list_value('0,1,-1', NULL, NULL, NULL, NULL, NULL, NULL)[doc_id % 7 + 1] AS levels, list_value(NULL, 'not an integer', 'jump', 'missing ids', 'no result', 'unexpected ids', 'out of range')[doc_id % 7 + 1] AS error FROM documents""",
+    "title_level_answers": """WITH x AS (SELECT doc_id, [CAST(doc_id % 5 - 1 AS INT), CAST(length(source) % 7 - 1 + doc_id % 2 AS INT), CAST(length(text) % 8 - 1 AS INT)] AS v FROM documents),
+        y AS (SELECT *, list_filter(v, lambda q: q >= 0) AS p FROM x),
+        z AS (SELECT *, CASE WHEN len(list_filter(v, lambda q: q < -1 OR q > 5)) > 0 THEN 'out of range' WHEN coalesce(p[2] - p[1] > 2, false) OR coalesce(p[3] - p[2] > 2, false) THEN 'jump' WHEN p[1] > 1 THEN 'first level' END AS wrong FROM y)
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_value('0,1,-1', NULL, NULL, NULL, NULL, NULL, NULL)[doc_id % 7 + 1] WHEN wrong IS NULL THEN array_to_string(list_transform(v, lambda q: CASE WHEN q >= 0 THEN least(q - list_min(p), 3) ELSE -1 END), ',') END AS levels,
+        CASE WHEN doc_id % 3 = 0 THEN list_value(NULL, 'not an integer', 'jump', 'missing ids', 'no result', 'unexpected ids', 'out of range')[doc_id % 7 + 1] ELSE wrong END AS error FROM z""",
     "segment_incision": f"""WITH {LAYOUTS_SQL}, x AS (SELECT book, page_index, ord, lag(page_index) OVER w AS pp, lag(ord) OVER w AS po FROM layouts WINDOW w AS (PARTITION BY book ORDER BY page_index, ord)),
         y AS (SELECT *, CASE WHEN pp <> page_index THEN 0 WHEN po // 4 <> ord // 4 THEN 1 WHEN po // 2 <> ord // 2 THEN 2 ELSE 3 END AS common FROM x WHERE pp IS NOT NULL)
         SELECT book, page_index, ord, common, CASE WHEN common >= 2 THEN 3 - common ELSE (2 - common) * 3 + 1 END AS incision FROM y""",

@@ -51,6 +51,12 @@ def han_marks(spark, d):
     return rows.select("id", T.widen_marks(F.col("text")).alias("text"))
 
 
+def han_lines(spark, d):
+    """P10: punctuation in Han context, where every mark of every line stands between Han letters."""
+    text = F.regexp_replace("text", "[,;?!:]", "文$0 文")
+    return layouts(spark, d).select("doc_id", "ord", T.widen_marks(text).alias("text"))
+
+
 _HAN_WANT = ["这是中文， 这是中文： 也是中文； 对吗？ 当然！", "abc, 中文", "中文: abc", "中 ， 文", "𠀀， a", "ok? 好 ： 好", "！中；", ""]
 
 
@@ -162,6 +168,7 @@ QUERIES = {
     "text_collapse_ws": collapsed,
     "md_heading_strip": headings,
     "han_punctuation": han_marks,
+    "han_punctuation_lines": han_lines,
     "quote_unwrap": quotes,
     "letter_ids": letters,
     "url_protocol": urls,
@@ -189,6 +196,7 @@ ORACLE_SQL = {
     "md_heading_strip": f"""WITH {LAYOUTS_SQL}, x AS (SELECT doc_id, ord, list_value('## ', '#', '  ### ', '')[(doc_id + ord) % 4 + 1] || text AS m FROM layouts)
         SELECT doc_id, ord, regexp_replace(m, '^#+[{_RE2_SPACE}]+', '') AS chapter_title, regexp_replace(m, '^[{_RE2_SPACE}]*#{{1,6}}[{_RE2_SPACE}]*', '') AS contents_title FROM x""",
     "han_punctuation": f"SELECT CAST(id AS BIGINT) AS id, text FROM (VALUES {_VALUES}) AS v(id, text)",
+    "han_punctuation_lines": f"""WITH {LAYOUTS_SQL} SELECT doc_id, ord, replace(replace(replace(replace(replace(text, ',', '文， 文'), ';', '文； 文'), '?', '文？ 文'), '!', '文！ 文'), ':', '文： 文') AS text FROM layouts""",
     "quote_unwrap": "SELECT doc_id, md5('«' || translate(text, '‹›〈〉«»《》', '«»《》') || '» 《' || translate(text, '‹›〈〉«»《》', '«»《》') || '》') AS digest FROM documents",
     "letter_ids": """WITH x AS (SELECT doc_id, doc_id % 18000 AS n FROM documents)
         SELECT doc_id, CASE WHEN n < 26 THEN chr(CAST(65 + n AS INT)) WHEN n < 702 THEN chr(CAST(65 + (n - 26) // 26 AS INT)) || chr(CAST(65 + (n - 26) % 26 AS INT))
