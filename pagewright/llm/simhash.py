@@ -20,6 +20,15 @@ CELL_CAP = 1024
 SLICE = 1 << 15
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some unsigned 64-bit hashes, as a signed long; 0 if there is no hash."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        part = hashes[at : at + SLICE].astype("<u8", copy=False)
+        counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash of the word shingles of a text, as a signed long; 0 if it has no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()

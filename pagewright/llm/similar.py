@@ -1,24 +1,28 @@
-"""Documents whose word shingles have a Jaccard similarity of at least 0.8: prefix filter, parity bitmaps, an exact check.
-
-In one order of all shingles, two sets that similar share a shingle in the first fifth of each; so all pairs meet in a
-shingle of their prefixes. Shingles common in a sample come last in the order, which decides how many pairs meet, not
-which are found. The differing bits of two parity bitmaps never outnumber the differing shingles, so bitmaps drop
-unlike pairs without loss. What is left is compared shingle by shingle.
+"""Documents whose word shingles have a Jaccard similarity of at least 0.8: SimHash, then a prefix filter for the rest.
+
+The SimHash operator finds the sets whose fingerprints differ in at most two bits; those of them that are similar by an
+exact check are one group from then on. Similar sets can differ in more bits than that. These are found by their
+prefixes: in one order of all shingles, two sets that similar share a shingle in the first fifth of each; so all pairs
+meet in a shingle of their prefixes. Shingles common in a sample come last in the order, which decides how many pairs
+meet, not which are found. The differing bits of two parity bitmaps never outnumber the differing shingles, so bitmaps
+drop unlike pairs without loss. Of what is left, as many pairs as span the groups are compared shingle by shingle; where
+one fails, all of that group are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, sampled, text_batches
 from .components import connected_components
-from .simhash import SEED
+from .simhash import SEED, links, majority
 
 WIDTH = 5
 #: Sets are similar if NUMERATOR / DENOMINATOR of the shingles in either are in both.
@@ -27,7 +31,6 @@ SAMPLE = 20_000
 COMMON = 3
 COMMON_MOST = 20_000
 CROWD = 64
-STARS = 16
 SHARD_ROWS = 200_000
 BUCKETS = 1 << 18
 BITS_MOST = 1 << 16
@@ -92,7 +95,7 @@ def _common(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _scan(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """doc_id, th, node (digest of the set), size, bits, prefix of every row."""
+    """doc_id, th, node (digest of the set), size, fp (SimHash of the set), bits, sketch, prefix of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -100,10 +103,11 @@ def _scan(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
             first = [prefix(s, common).view(np.int64) for s in found]
             bits = [bitmap(s) for s in found]
-            columns = [pa.array(node), pa.array([len(s) for s in found], pa.int32()), pa.array(bits, pa.binary()), pa.array([sketch(b) for b in bits], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "node", "size", "bits", "sketch", "prefix"])
+            sizes, prints = pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64())
+            columns = [pa.array(node), sizes, prints, pa.array(bits, pa.binary()), pa.array([sketch(b) for b in bits], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "node", "size", "fp", "bits", "sketch", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, th long, node long, size int, bits binary, sketch binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, node long, size int, fp long, bits binary, sketch binary, prefix array<long>")
 
 
 class _Sets:
@@ -111,81 +115,130 @@ class _Sets:
 
     def __init__(self, columns: dict[str, np.ndarray]) -> None:
         order = np.lexsort((columns["node"], columns["token"]))
-        self.token, self.node, self.size, self.pos = (columns[c][order] for c in ("token", "node", "size", "pos"))
-        self.label = columns["label"][order] if "label" in columns else None
-        self.bits = columns["sketch"][order]
-        self.level = np.array([len(x).bit_length() - 4 for x in self.bits])
+        self.token, self.node, self.size, self.pos, self.label = (columns.pop(c)[order] for c in ("token", "node", "size", "pos", "label"))
+        bits = columns.pop("sketch")[order]
+        self.level = np.array([len(x).bit_length() - 4 for x in bits], np.int8)
         top = SKETCH_WORDS.bit_length() - 1
-        folded = np.frombuffer(b"".join(x.ljust(8 * SKETCH_WORDS, b"\0") for x in self.bits), np.uint64).reshape(-1, SKETCH_WORDS)
+        folded = np.frombuffer(b"".join(x.ljust(8 * SKETCH_WORDS, b"\0") for x in bits), np.uint64).reshape(-1, SKETCH_WORDS)
         self.folded = {top: folded}
         for level in range(top - 1, -1, -1):
             half = 1 << level
             folded = np.where((self.level > level)[:, None], folded[:, :half] ^ folded[:, half:], folded[:, :half])
             self.folded[level] = folded
 
-    def groups(self) -> list[tuple[int, int]]:
-        cuts = np.append(np.flatnonzero(np.append(True, self.token[1:] != self.token[:-1])), len(self.token)).tolist()
-        return list(zip(cuts[:-1], cuts[1:], strict=True))
+    def _cuts(self) -> np.ndarray:
+        return np.append(np.flatnonzero(np.append(True, self.token[1:] != self.token[:-1])), len(self.token))
+
+    def crowds(self, crowd: int) -> list[tuple[int, int]]:
+        """First row and end of each group of more than `crowd`."""
+        cuts = self._cuts()
+        at = np.flatnonzero(np.diff(cuts) > crowd)
+        return list(zip(cuts[at].tolist(), cuts[at + 1].tolist(), strict=True))
+
+    def meeting(self, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows, in groups of up to `crowd`, that are not in one component and whose sets can be similar."""
+        sizes = np.diff(self._cuts())
+        n, found = np.repeat(sizes, sizes), [(np.zeros(0, int), np.zeros(0, int))]
+        for d in range(1, min(crowd, int(sizes.max()))):
+            i = np.flatnonzero((self.token[d:] == self.token[:-d]) & (n[d:] <= crowd) & (self.label[d:] != self.label[:-d]))
+            found.append(self.close(i, i + d))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+        return i, j
+
+    def nodes(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of all equal pairs of nodes of the pairs of rows, in the order of the nodes."""
+        _, first = np.unique(np.stack([self.node[i], self.node[j]], 1), axis=0, return_index=True)
+        return i[first], j[first]
+
+    def gap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits that differ in the sketches of rows i and j."""
+        level, gap = np.minimum(self.level[i], self.level[j]), np.zeros(len(i), np.int64)
+        for k, folded in self.folded.items():
+            at = np.flatnonzero(level == k)
+            gap[at] = np.bitwise_count(folded[i[at]] ^ folded[j[at]]).sum(1, dtype=np.int64)
+        return gap
 
     def close(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of rows i and j whose sets can be similar, if the token is the first that they share."""
         x, y = self.size[i].astype(np.int64), self.size[j].astype(np.int64)
         keep = (NUMERATOR + DENOMINATOR) * np.minimum(x - self.pos[i], y - self.pos[j]) >= NUMERATOR * (x + y)
         i, j = i[keep], j[keep]
-        level, both = np.minimum(self.level[i], self.level[j]), self.size[i].astype(np.int64) + self.size[j]
-        good = np.zeros(len(i), bool)
-        for k, folded in self.folded.items():
-            at = np.flatnonzero(level == k)
-            gap = np.bitwise_count(folded[i[at]] ^ folded[j[at]]).sum(1, dtype=np.int64)
-            good[at] = (NUMERATOR + DENOMINATOR) * gap <= (DENOMINATOR - NUMERATOR) * both[at]
+        both = self.size[i].astype(np.int64) + self.size[j]
+        good = (NUMERATOR + DENOMINATOR) * self.gap(i, j) <= (DENOMINATOR - NUMERATOR) * both
         return i[good], j[good]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> _Sets | None:
-    """The rows of a partition; none if it is empty."""
-    parts = [b for b in batches if b.num_rows]
+    """The rows of a partition, a node without a label is its own; none if it is empty."""
+    parts = [b.set_column(b.schema.get_field_index("label"), "label", pc.coalesce(b.column("label"), b.column("node"))) for b in batches if b.num_rows]
     if not parts:
         return None
-    columns = {n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in parts]) for n in parts[0].schema.names}
+    names = parts[0].schema.names
+    table = pa.Table.from_batches(parts)
+    del parts  # each column goes as soon as it is an array
+    columns = {}
+    for name in names:
+        columns[name] = table.column(name).to_numpy()
+        table = table.drop_columns([name])
     return _Sets(columns)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], crowd: int, stars: int = STARS) -> Iterator[pa.RecordBatch]:
-    """The pairs of the nodes of a token that can be similar; in a crowd, the pairs with a few of its nodes only, and who is in it."""
-    if (x := _sets(batches)) is None:
-        return
-    names = ["token", "a", "b", "size", "pos", "sketch", "crowded"]
-
-    def rows(i: np.ndarray, j: np.ndarray, crowded: bool) -> pa.RecordBatch:
-        sketch = pa.array(x.bits[i] if crowded else [None] * len(i), pa.binary())
-        return pa.record_batch([pa.array(x.token[i]), pa.array(x.node[i]), pa.array(x.node[j]), pa.array(x.size[i]), pa.array(x.pos[i]), sketch, pa.array(np.full(len(i), crowded))], names)
-
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    groups = x.groups()
-    n = np.repeat([e - s for s, e in groups], [e - s for s, e in groups])
-    for d in range(1, min(crowd, int(n.max()))):
-        i = np.flatnonzero((x.token[d:] == x.token[:-d]) & (n[d:] <= crowd))
-        found.append(x.close(i, i + d))
-    for start, end in groups:
-        if end - start <= crowd:
-            continue
-        rank = (x.node[start:end].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
-        every = np.arange(start, end)
-        for s in (np.argsort(rank, kind="stable")[:stars] + start).tolist():
-            found.append(x.close(every, np.full(end - start, s)))
-        yield rows(every, every, True)
-    if found:
-        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-        if len(i):
-            _, first = np.unique(np.stack([x.node[i], x.node[j]], 1), axis=0, return_index=True)
-            yield rows(i[first], j[first], False)
+def _mixed(x: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers in another order each turn."""
+    x = (x.view(np.uint64) ^ np.uint64(turn * 0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _walk(x: _Sets, start: int, end: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that can be similar, enough to join all rows of a group that such pairs or labels join."""
+    left = np.argsort(_mixed(x.node[start:end], turn), kind="stable") + start
+    while len(left):
+        near, left = left[:1].tolist(), left[1:]
+        while near and len(left):
+            one = near.pop()
+            own = x.label[left] == x.label[one]
+            _, found = x.close(np.full(len(left), one)[~own], left[~own])
+            yield np.full(len(found), one), found
+            met = own | np.isin(left, found, assume_unique=True)
+            near += left[met].tolist()
+            left = left[~met]
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of nodes of a crowd that can be similar and are not yet in one component."""
+def _spanning(batches: Iterator[pa.RecordBatch], crowd: int, turn: int = 0) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes that can be similar: as many as span what all such pairs of the partition join, fewer than its nodes.
+
+    The first turn takes those with the closest sketches, the next one any.
+    """
     if (x := _sets(batches)) is None:
         return
-    for start, end in x.groups():
+    found = [x.meeting(crowd)]
+    for start, end in x.crowds(crowd):
+        found += _walk(x, start, end, turn)
+    i, j = x.nodes(*(np.concatenate(c) for c in zip(*found, strict=True)))
+    order = _mixed(x.node[i] ^ x.node[j], turn) if turn else x.gap(i, j) / (x.size[i].astype(np.int64) + x.size[j])
+    order = np.argsort(order, kind="stable")
+    i, j, root = i[order], j[order], dict[int, int]()
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = k = root.get(up, up)
+        return k
+
+    keep = []
+    for at, (p, q) in enumerate(zip(x.label[i].tolist(), x.label[j].tolist(), strict=True)):
+        if (p := find(p)) != (q := find(q)):
+            root[q] = p
+            keep.append(at)
+    yield pa.record_batch([pa.array(x.node[i[keep]]), pa.array(x.node[j[keep]])], ["a", "b"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of nodes that can be similar and are not yet in one component."""
+    if (x := _sets(batches)) is None:
+        return
+    i, j = x.nodes(*x.meeting(crowd))
+    yield pa.record_batch([pa.array(x.node[i]), pa.array(x.node[j])], ["a", "b"])
+    for start, end in x.crowds(crowd):
         _, of, n = np.unique(x.label[start:end], return_inverse=True, return_counts=True)
         few = np.append(np.flatnonzero(of != n.argmax()), np.flatnonzero(of == n.argmax())) + start
         for k in range(len(few) - int(n.max())):
@@ -240,30 +293,56 @@ def _edges(pairs: DataFrame, own: DataFrame, rows: DataFrame, width: int) -> Dat
     return materialize(beside(beside(alike, found, "a"), found, "b").mapInArrow(_exact, "a long, b long"), "similar")
 
 
+def _by_fingerprints(own: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """The similar ones of the pairs of sets that the SimHash operator links."""
+    some = own.where("size > 0").select("node", "fp")
+    first = materialize(some.groupBy("fp").agg(F.min("node").alias("to")), "fingerprints")
+    same = some.join(first, "fp").select("node", "to")
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("to").alias(f"node_{c}"))
+    near = links(first.select("fp")).join(side("a"), "a").join(side("b"), "b").select("node_a", "node_b")
+    return _edges(same.union(near).toDF("a", "b"), own, rows, width)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, th, component, component_id of every row of docs (doc_id, text), as simhash.near_duplicates().
 
-    Rows link if the Jaccard similarity of their sets of shingles is at least 0.8, and all without a word link. Tokens
-    of more than `crowd` sets are settled against a few of these first; only pairs that are apart after that are formed.
+    Rows link if the Jaccard similarity of their sets of shingles is at least 0.8, and all without a word link. What
+    SimHash links and is similar is joined first. Tokens of up to `crowd` sets form all pairs in their task, others walk
+    from set to set; only pairs that span leave it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     scanned = materialize(_scan(rows, width, _common(rows, width)), "scanned")
-    own = scanned.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("th", "size", "bits", "sketch", "prefix")).alias("x"))
+    own = scanned.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("th", "size", "fp", "bits", "sketch", "prefix")).alias("x"))
     own = materialize(own.select("node", "first", "x.*"), "distinct")
     size = own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     shards = int(1 + size // SHARD_ROWS)
-    placed = own.select("node", "size", "sketch", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "size", "pos", "sketch")
-    met = placed.repartition(shards, "token").mapInArrow(partial(_pairs, crowd=crowd), "token long, a long, b long, size int, pos int, sketch binary, crowded boolean")
-    met = materialize(met, "pairs")
-    edges = _edges(met.where("NOT crowded").select("a", "b"), own, rows, width)
-    crowds = met.where("crowded").select("token", F.col("b").alias("node"), "size", "pos", "sketch")
-    if not crowds.isEmpty():
-        label = materialize(connected_components(edges), "settled")
-        held = crowds.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        rest = held.repartition(shards, "token").select("token", "node", "size", "pos", "sketch", "label").mapInArrow(_apart, "a long, b long")
-        edges = edges.union(_edges(rest, own, rows, width))
-    label = materialize(connected_components(edges), "labels")
-    named = own.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+
+    def settled(edges: DataFrame) -> DataFrame:
+        return materialize(connected_components(edges).select(F.col("node").alias("a"), F.col("component").alias("b")), "settled")
+
+    def met(sets: DataFrame, label: DataFrame, pairs: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+        held = sets.join(label.toDF("node", "label"), "node", "left")
+        placed = held.select("node", "size", "sketch", "label", F.posexplode("prefix").alias("pos", "token"))
+        dealt = placed.select("token", "node", "size", "pos", "sketch", "label").repartition(shards, "token")
+        return materialize(dealt.mapInArrow(pairs, "a long, b long"), "pairs")
+
+    def add(label: DataFrame, pairs: DataFrame) -> DataFrame:
+        return settled(label.union(_edges(pairs, own, rows, width)))
+
+    label = settled(_by_fingerprints(own, rows, width))
+    pairs = met(own, label, partial(_spanning, crowd=crowd))
+    before, label = label, add(label, pairs)
+    side = lambda c: label.toDF(c, f"label_{c}")
+    failed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)")
+    failed = materialize(failed.select(F.col("a").alias("node")).distinct(), "failed")
+    if not failed.isEmpty():
+        # what no pair that failed has joined is settled
+        group = materialize(connected_components(before.union(pairs)), "possible")
+        open_ = group.join(group.join(failed, "node").select("component").distinct(), "component").select("node")
+        sets = own.join(materialize(open_, "open"), "node")
+        label = add(label, met(sets, label, partial(_spanning, crowd=crowd, turn=1)))
+        label = add(label, met(sets, label, partial(_apart, crowd=crowd)))
+    named = own.join(label.toDF("node", "component"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     whole = materialize(named.join(least, "component").select("node", "component", "component_id"), "whole")

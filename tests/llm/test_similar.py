@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as C
-from pagewright.llm import similar as J
+from pagewright.llm import similar as J, simhash as H
 from pagewright.session import table
 
 
@@ -59,3 +61,38 @@ def test_stage_on_sample_documents(spark):
     want = groups([r.text for r in rows])
     kept = {r.doc_id for r in C.near_duplicates(spark, docs, d).select("doc_id").collect()}
     assert kept == {rows[i].doc_id for i in set(want)}
+
+
+def rows_of(sets, tokens):
+    """A batch as the partitions of the prefix join hold it: every set under every token."""
+    bits = [J.sketch(J.bitmap(s)) for s in sets]
+    names = ["token", "node", "size", "pos", "sketch", "label"]
+    columns = [[v for _ in range(tokens) for v in c] for c in (range(len(sets)), [len(s) for s in sets], [0] * len(sets), bits, [None] * len(sets))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    token = pa.array([t for t in range(tokens) for _ in sets], pa.int64())
+    return pa.record_batch([token, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_copies_leave_a_task_as_a_tree_not_as_pairs(crowd):
+    base = list(range(10**6, 10**6 + 200))
+    near = [np.array([*base[:195], *(10**9 + 10 * k + i for i in range(5))], np.uint64) for k in range(50)]
+    far = [np.array(range(10**7 * k, 10**7 * k + 200), np.uint64) for k in range(2, 9)]
+    found = pa.Table.from_batches(J._spanning(iter([rows_of([*near, *far], 3)]), crowd)).to_pylist()
+    ends = {x for r in found for x in r.values()}
+    assert len(found) == len(near) - 1 and ends == set(range(len(near)))
+
+
+def test_simhash_joins_what_it_can(spark, monkeypatch):
+    texts = planted()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    asked = []
+    monkeypatch.setattr(J, "links", lambda fps: asked.append({r.fp for r in fps.collect()}) or H.links(fps))
+    found = {r.doc_id: r.component_id for r in J.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == groups(texts)
+    assert asked == [{H.majority(J.shingles(t)) for t in texts if plain(t)}]
+
+
+def test_majority_is_the_fingerprint():
+    words = [f"w{k}" for k in range(40)]
+    assert H.majority(J.shingles(" ".join(words), 3)) == H.fingerprint(" ".join(words)) and H.majority(np.zeros(0, np.uint64)) == 0
