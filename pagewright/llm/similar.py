@@ -331,15 +331,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) ->
 
     label = settled(_by_fingerprints(own, rows, width))
     pairs = met(own, label, partial(_spanning, crowd=crowd))
-    before, label = label, add(label, pairs)
+    label = add(label, pairs)
     side = lambda c: label.toDF(c, f"label_{c}")
-    failed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)")
-    failed = materialize(failed.select(F.col("a").alias("node")).distinct(), "failed")
+    ends = [F.coalesce(f"label_{c}", c) for c in ("a", "b")]
+    failed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(ends[0] != ends[1])
+    failed = materialize(failed.select(F.explode(F.array(*ends)).alias("component")).distinct(), "failed")
     if not failed.isEmpty():
-        # what no pair that failed has joined is settled
-        group = materialize(connected_components(before.union(pairs)), "possible")
-        open_ = group.join(group.join(failed, "node").select("component").distinct(), "component").select("node")
-        sets = own.join(materialize(open_, "open"), "node")
+        # similar sets that are still apart are joined by pairs that failed, so both their components have one
+        member = own.join(label.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sets = materialize(member.join(failed, "component", "left_semi").drop("component"), "open")
         label = add(label, met(sets, label, partial(_spanning, crowd=crowd, turn=1)))
         label = add(label, met(sets, label, partial(_apart, crowd=crowd)))
     named = own.join(label.toDF("node", "component"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
