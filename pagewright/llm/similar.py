@@ -3,10 +3,11 @@
 The SimHash operator finds the sets whose fingerprints differ in at most two bits; those of them that are similar by an
 exact check are one group from then on. Similar sets can differ in more bits than that. These are found by their
 prefixes: in one order of all shingles, two sets that similar share a shingle in the first fifth of each; so all pairs
-meet in a shingle of their prefixes. Shingles common in a sample come last in the order, which decides how many pairs
-meet, not which are found. The differing bits of two parity bitmaps never outnumber the differing shingles, so bitmaps
-drop unlike pairs without loss. Of what is left, as many pairs as span the groups are compared shingle by shingle; where
-one fails, all of that group are.
+meet in a shingle of their prefixes. Long sets are cut into parts by their hashes, and one part of similar sets is as
+similar as the whole; so parts meet, by their own prefixes, and bitmaps need not grow. Shingles common in a sample come
+last in the order, which decides how many pairs meet, not which are found. The differing bits of two parity bitmaps never
+outnumber the differing shingles, so bitmaps drop unlike pairs without loss. Of what is left, as many pairs as span the
+groups are compared shingle by shingle; where one fails, all of that group are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, sampled, text_batches
+from .common import drop_scratch, materialize, sampled, scratch, text_batches
 from .components import connected_components
 from .simhash import SEED, links, majority
 
@@ -34,8 +35,12 @@ CROWD = 64
 SHARD_ROWS = 200_000
 BUCKETS = 1 << 18
 BITS_MOST = 1 << 16
-#: What travels with each token of a set: its bitmap, folded to so many words of 64 bits.
-SKETCH_WORDS = 8
+#: What travels with each token of a part: the part's bitmap, folded to so many words of 64 bits.
+SKETCH_WORDS = 4
+#: Sets are cut by the first bits of the hashes, so many bits at a time, until parts have fewer shingles than this on average.
+PART_SIZE, SPLIT_BITS = 384, 2
+#: Tokens of the first part that are dealt before all others.
+LEADING = 3
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -76,6 +81,27 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return found[np.argsort(late, kind="stable")][: len(found) + NUMERATOR * len(found) // -DENOMINATOR + 1]
 
 
+def cut(size: int) -> int:
+    """Bits of a hash that tell the part, for sets of which the larger has this size."""
+    bits = 0
+    while size >> bits >= PART_SIZE:
+        bits += SPLIT_BITS
+    return bits
+
+
+def parts(found: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """number, shingles and tokens of each part of a set; two sets that are similar have a similar part, cut alike.
+
+    Shares of a whole cannot all fall short of what the whole reaches. Parts are cut as the size of the larger set asks,
+    so a set is cut in each way that sets up to 5/4 of its size are. Tokens are the prefix, told apart by the cut.
+    """
+    for bits in sorted({cut(len(found)), cut(DENOMINATOR * len(found) // NUMERATOR)}):
+        edges = np.searchsorted(found, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+        for at, part in enumerate(np.split(found, edges)):
+            if len(part):
+                yield at, part, prefix(part, common) ^ np.uint64(bits * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
 def similar(x: int, y: int, both: int) -> bool:
     return (NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (x + y)
 
@@ -95,19 +121,25 @@ def _common(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _scan(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """doc_id, th, node (digest of the set), size, fp (SimHash of the set), bits, sketch, prefix of every row."""
+    """doc_id, th, node (digest of the set), size, fp (SimHash of the set), bits, parts of every row."""
+    kind = "array<struct<at: int, size: int, sketch: binary, tokens: array<long>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = [shingles(t, width) for t in batch.column("text").to_pylist()]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-            first = [prefix(s, common).view(np.int64) for s in found]
-            bits = [bitmap(s) for s in found]
+            cuts = [list(parts(s, common)) for s in found]
+            each = [x for c in cuts for x in c]
+            at, sizes = pa.array([k for k, _, _ in each], pa.int32()), pa.array([len(p) for _, p, _ in each], pa.int32())
+            sketches = pa.array([sketch(bitmap(p)) for _, p, _ in each], pa.binary())
+            tokens = pa.array([t.view(np.int64) for _, _, t in each], pa.list_(pa.int64()))
+            flat = pa.StructArray.from_arrays([at, sizes, sketches, tokens], ["at", "size", "sketch", "tokens"])
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cuts)]), pa.int32()), flat)
             sizes, prints = pa.array([len(s) for s in found], pa.int32()), pa.array([majority(s) for s in found], pa.int64())
-            columns = [pa.array(node), sizes, prints, pa.array(bits, pa.binary()), pa.array([sketch(b) for b in bits], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "node", "size", "fp", "bits", "sketch", "prefix"])
+            columns = [pa.array(node), sizes, prints, pa.array([bitmap(s) for s in found], pa.binary()), held]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "node", "size", "fp", "bits", "parts"])
 
-    return rows.mapInArrow(run, "doc_id long, th long, node long, size int, fp long, bits binary, sketch binary, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id long, th long, node long, size int, fp long, bits binary, parts {kind}")
 
 
 class _Sets:
@@ -307,29 +339,35 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) ->
     """doc_id, th, component, component_id of every row of docs (doc_id, text), as simhash.near_duplicates().
 
     Rows link if the Jaccard similarity of their sets of shingles is at least 0.8, and all without a word link. What
-    SimHash links and is similar is joined first. Tokens of up to `crowd` sets form all pairs in their task, others walk
+    SimHash links and is similar is joined first, then what the first tokens of the sets find, then by all tokens. Tokens of up to `crowd` sets form all pairs in their task, others walk
     from set to set; only pairs that span leave it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    scanned = materialize(_scan(rows, width, _common(rows, width)), "scanned")
-    own = scanned.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("th", "size", "fp", "bits", "sketch", "prefix")).alias("x"))
+    with scratch() as made:
+        scanned = materialize(_scan(rows, width, _common(rows, width)), "scanned")
+    own = scanned.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct("th", "size", "fp", "bits", "parts")).alias("x"))
     own = materialize(own.select("node", "first", "x.*"), "distinct")
-    size = own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    shards = int(1 + size // SHARD_ROWS)
+    scanned = materialize(scanned.select("doc_id", "th", "node"), "nodes")
+    drop_scratch(docs.sparkSession, made)
 
     def settled(edges: DataFrame) -> DataFrame:
         return materialize(connected_components(edges).select(F.col("node").alias("a"), F.col("component").alias("b")), "settled")
 
-    def met(sets: DataFrame, label: DataFrame, pairs: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
-        held = sets.join(label.toDF("node", "label"), "node", "left")
-        placed = held.select("node", "size", "sketch", "label", F.posexplode("prefix").alias("pos", "token"))
-        dealt = placed.select("token", "node", "size", "pos", "sketch", "label").repartition(shards, "token")
+    def met(sets: DataFrame, label: DataFrame, pairs: Callable[..., Iterator[pa.RecordBatch]], leading: bool = False) -> DataFrame:
+        some = F.filter("parts", lambda p: p.at == 0) if leading else F.col("parts")
+        tokens = lambda p: F.slice(p.tokens, 1, LEADING) if leading else p.tokens
+        size = sets.agg(F.coalesce(F.sum(F.aggregate(some, F.lit(0), lambda n, p: n + F.size(tokens(p)))), F.lit(0))).first()[0]
+        held = sets.join(label.toDF("node", "label"), "node", "left").select("node", "label", F.explode(some).alias("part"))
+        placed = held.select("node", "part.size", "part.sketch", "label", F.posexplode(tokens(held.part)).alias("pos", "token"))
+        # few rows go to few tasks, so that a pair meets in few of them
+        dealt = placed.select("token", "node", "size", "pos", "sketch", "label").repartition(int(1 + size // SHARD_ROWS), "token")
         return materialize(dealt.mapInArrow(pairs, "a long, b long"), "pairs")
 
     def add(label: DataFrame, pairs: DataFrame) -> DataFrame:
         return settled(label.union(_edges(pairs, own, rows, width)))
 
     label = settled(_by_fingerprints(own, rows, width))
+    label = add(label, met(own, label, partial(_spanning, crowd=crowd), leading=True))
     pairs = met(own, label, partial(_spanning, crowd=crowd))
     label = add(label, pairs)
     side = lambda c: label.toDF(c, f"label_{c}")

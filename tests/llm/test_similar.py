@@ -96,3 +96,48 @@ def test_simhash_joins_what_it_can(spark, monkeypatch):
 def test_majority_is_the_fingerprint():
     words = [f"w{k}" for k in range(40)]
     assert H.majority(J.shingles(" ".join(words), 3)) == H.fingerprint(" ".join(words)) and H.majority(np.zeros(0, np.uint64)) == 0
+
+
+def dealt(sets):
+    """A batch with every token of every set, as a single partition would hold them."""
+    rows = [(t, k, len(p), pos, J.sketch(J.bitmap(p)), None) for k, s in enumerate(sets) for _, p, ts in J.parts(s, np.zeros(0, np.uint64)) for pos, t in enumerate(ts.view(np.int64).tolist())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["token", "node", "size", "pos", "sketch", "label"])
+
+
+@pytest.mark.parametrize("small, large", [(4, 5), (452, 511), (452, 565), (500, 625), (512, 512), (1640, 2050), (2000, 2005), (6600, 8250), (8190, 8200)])
+def test_sets_cut_into_parts_still_meet_at_the_limit(small, large):
+    both = -(-4 * (small + large) // 9)
+    for seed in range(5):
+        pool = np.unique(np.random.default_rng(seed).integers(0, 1 << 63, 2 * (small + large), np.uint64) * np.uint64(2))
+        pool = np.random.default_rng(seed).permutation(pool)[: small + large - both]
+        pair = [np.sort(pool[:small]), np.sort(pool[small - both :])]
+        assert J.similar(small, large, len(np.intersect1d(*pair)))
+        assert pa.Table.from_batches(J._spanning(iter([dealt(pair)]), 64)).num_rows == 1
+
+
+def counted(monkeypatch, spark, texts):
+    """The groups, and how many pairs each dealing of tokens made."""
+    made, write = [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, label: (out := write(df, label), label == "pairs" and made.append(out.count()))[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in J.near_duplicates(docs).collect()}
+    return [found[i] for i in range(len(texts))], made
+
+
+def test_long_texts_with_a_passage_in_common_make_no_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join(words(2000) + line + words(2000)) for line in (words(60) for _ in range(15)) for _ in range(2)]
+    found, made = counted(monkeypatch, spark, texts)
+    assert found == list(range(30)) and sum(made) == 0
+
+
+def test_a_pair_leaves_few_tasks_however_many_there_are(spark, monkeypatch):
+    rnd, texts = random.Random(9), []
+    for _ in range(20):
+        own = [f"w{rnd.randrange(10**9)}" for _ in range(300)]
+        texts += [" ".join(own), " ".join("new" if k % 60 == 30 else w for k, w in enumerate(own))]
+    monkeypatch.setattr(J, "SHARD_ROWS", 100)
+    found, made = counted(monkeypatch, spark, texts)
+    assert found == groups(texts) == [k // 2 * 2 for k in range(40)] and sum(made) <= 4 * 20
