@@ -55,15 +55,49 @@ def translated(rows: DataFrame, key: str, make: Callable[[], Callable[[list[str]
 
 
 def translate_documents(docs: DataFrame, key: str, xml: str, make: Callable[[], Callable[[list[str]], list[str]]], mode: str = markup.REPLACE, limit: int = 2600) -> DataFrame:
-    """docs with the XML column translated; documents that are not well-formed stay as they are."""
-    new = translated(segment_rows(docs, key, xml), key, make, limit).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("seg", "new"))), lambda x: x["new"]).alias("_new"))
+    """docs with the XML column translated; documents that are not well-formed stay as they are.
 
-    @F.pandas_udf("string")
-    def write(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xmls, texts in batches:
-            yield pd.Series([x if t is None else markup.header(x) + markup.unique_ids(markup.submit(x, list(t), mode)) for x, t in zip(xmls, texts, strict=True)])
+    A document is translated where it is parsed: its segments are packed as in translated(), and written into the same tree.
+    """
+
+    def start() -> Callable[[str | None], str | None]:
+        function = make()
+
+        def one(text: str | None) -> str | None:
+            try:
+                root = None if text is None else markup.parse(text)
+            except markup.ElementTree.ParseError:
+                return text
+            if root is None or not (found := markup.segments(root)):
+                return text
+            new: list[str] = []
+            for texts in packs([s.text for s in found], limit):
+                got = function(texts)
+                if len(got) != len(texts):
+                    raise ValueError("the translator must give one text for each")
+                new += got
+            markup.put(root, found, new, mode)
+            markup.number_ids(root)
+            written = markup.ElementTree.tostring(root, encoding="unicode")
+            return markup.header(text) + written.replace("\r\n", "\n").replace("\r", "\n")  # line ends as a parser reads them
 
-    return docs.join(new, key, "left").withColumn(xml, write(F.col(xml), F.col("_new"))).drop("_new")
+        return one
+
+    return docs.withColumn(xml, arrow(None, "string", start)(F.col(xml)))
+
+
+def packs(texts: list[str], limit: int) -> Iterator[list[str]]:
+    """Neighbouring texts whose estimated tokens stay within the limit; a longer one stands alone. The rule of flow.pack()."""
+    held, cost = [], 0
+    for t in texts:
+        own = -(-len(t) // 4)  # as estimate_tokens()
+        if held and cost + own > limit:
+            yield held
+            held, cost = [], 0
+        held.append(t)
+        cost += own
+    if held:
+        yield held
 
 
 def cache_key(model: str, url: str, messages: Column, temperature: float, top_p: float) -> Column:
@@ -96,16 +130,11 @@ def fill_documents(docs: DataFrame, key: str, xml: str, make: Callable[[], tuple
 def fault_column(want: Column, got: Column) -> Column:
     """Faults of answers against templates, both as XML: block, kind, level, in the order they are found; null for what is not well-formed."""
 
-    def one(pair: dict | None) -> list[dict] | None:
+    def one(a: str | None, b: str | None) -> list[dict] | None:
         try:
-            found = fill.faults(markup.parse(pair["want"]), markup.parse(pair["got"]))
+            found = fill.faults(markup.parse(a), markup.parse(b))
         except (markup.ElementTree.ParseError, TypeError):
             return None
         return [{"block": f.block, "kind": f.kind, "level": f.level} for f in found]
 
-    @F.pandas_udf("array<struct<block:int,kind:string,level:int>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for w, g in batches:
-            yield pd.Series([one({"want": a, "got": b}) for a, b in zip(w, g, strict=True)])
-
-    return run(want, got)
+    return arrow(one, "array<struct<block:int,kind:string,level:int>>")(want, got)
