@@ -31,3 +31,13 @@ def test_blocks_within_blocks_are_copied_once():
     deep = "<d>" + "".join(f"<div>a{k}<p>b{k}</p></div>" for k in range(3)) + "<p>c</p></d>"
     texts = [s.text.upper() for s in markup.segments(markup.parse(deep))]
     assert markup.submit(deep, texts, markup.APPEND_BLOCK) == "<d>" + "".join(f"<div>a{k}<p>b{k}</p><p>B{k}</p></div>" for k in range(3)) + "<p>c</p><p>C</p></d>"
+
+
+def test_only_the_answer_of_a_row_is_filled_in(spark):
+    """Texts are put into the template and into one answer, not into each of the eleven."""
+    from pagewright.plans import markup_queries
+    from pagewright.session import table
+
+    made = markup_queries.faulty(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{0}, ") <= 2 < len(markup_queries._ANSWERS) and made.count() == table(spark, "/root/testdata/sf0.001", "documents").where("text IS NOT NULL").select(F.sum(F.size(F.split("text", "\n", -1)))).first()[0]
