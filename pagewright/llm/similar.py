@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_scratch, materialize, sampled, scratch, text_batches
+from .common import drop_scratch, materialize, release, sampled, scratch, text_batches
 from .components import connected_components
 from .simhash import SEED, links, majority
 
@@ -349,6 +349,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) ->
     own = materialize(own.select("node", "first", "x.*"), "distinct")
     scanned = materialize(scanned.select("doc_id", "th", "node"), "nodes")
     drop_scratch(docs.sparkSession, made)
+    release(docs.sparkSession)
 
     def settled(edges: DataFrame) -> DataFrame:
         return materialize(connected_components(edges).select(F.col("node").alias("a"), F.col("component").alias("b")), "settled")
@@ -361,10 +362,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) ->
         placed = held.select("node", "part.size", "part.sketch", "label", F.posexplode(tokens(held.part)).alias("pos", "token"))
         # few rows go to few tasks, so that a pair meets in few of them
         dealt = placed.select("token", "node", "size", "pos", "sketch", "label").repartition(int(1 + size // SHARD_ROWS), "token")
-        return materialize(dealt.mapInArrow(pairs, "a long, b long"), "pairs")
+        found = materialize(dealt.mapInArrow(pairs, "a long, b long"), "pairs")
+        release(docs.sparkSession)  # the tokens are most of what the stage shuffles
+        return found
 
     def add(label: DataFrame, pairs: DataFrame) -> DataFrame:
-        return settled(label.union(_edges(pairs, own, rows, width)))
+        found = settled(label.union(_edges(pairs, own, rows, width)))
+        release(docs.sparkSession)
+        return found
 
     label = settled(_by_fingerprints(own, rows, width))
     label = add(label, met(own, label, partial(_spanning, crowd=crowd), leading=True))

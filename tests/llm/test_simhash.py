@@ -1,10 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pagewright.llm import simhash as H
+from pagewright.llm.common import materialize, release, scratch
 from pagewright.llm.components import connected_components
 from pagewright.session import table
 
@@ -81,6 +84,36 @@ def test_components_of_shapes(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_few_edges_take_one_step(spark):
+    chain = [(i, i + 1) for i in range(300)]
+    edges = spark.createDataFrame([*chain, *chain, (1000, 1001), (1001, 1002), (5, 5), (None, 3)], "a long, b long")
+    with scratch() as made:
+        found = connected_components(edges)
+    assert len(made) == 2  # the edges and what they join; rounds of contraction store two tables each
+    assert {r.node: r.component for r in found.collect()} == dict.fromkeys(range(301), 0) | dict.fromkeys(range(1000, 1003), 1000)
+    for few in (0, 40):  # by rounds alone, and by rounds before the last step
+        groups = {}
+        for r in connected_components(edges, few=few).collect():
+            groups.setdefault(r.component, set()).add(r.node)
+        assert sorted(map(sorted, groups.values())) == [list(range(301)), [1000, 1001, 1002]]
+
+
+def test_release_lets_shuffles_go(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    release(spark)
+    time.sleep(2)
+    before = held()
+    for _ in range(3):
+        materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert held() > before
+    for _ in range(20):
+        release(spark)
+        time.sleep(0.5)
+        if held() <= before:
+            break
+    assert held() <= before
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = H.query(odd_docs).collect()
     assert len(found) == odd_docs.count() and H.query(no_docs).count() == 0
