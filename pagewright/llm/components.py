@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 #: So many edges are joined in one task, at most.
 FEW = 1 << 18
@@ -53,7 +53,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200, few: int = FEW
     for turn in range(max_rounds):
         if (left := live.count()) <= few:
             if left:
-                moves.append(materialize(live.coalesce(1).mapInArrow(_joined, "node long, to long"), "move"))
+                moves.append(materialize(live.coalesce(1).mapInArrow(lean(_joined), "node long, to long"), "move"))
             break
         live = live if turn else materialize(live.distinct(), "edges")
         both = live.union(live.select("b", "a"))

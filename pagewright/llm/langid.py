@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, sampled, text_batches
+from .common import held_out, lean, sampled, text_batches
 from .tables import HashTable64
 
 DOCS_PER_LANGUAGE = 400
@@ -139,6 +139,7 @@ def learn(docs: DataFrame, path: str, docs_per_language: int = DOCS_PER_LANGUAGE
     share = F.create_map(*chain.from_iterable((F.lit(x), F.lit(min(1.0, most / sizes[x]))) for x in langs))
     sample = good.where(sampled(F.xxhash64("doc_id", F.length("text"), F.lit("langid")), share[F.col("lang")]))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = Counter((lang, w) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) for w in words_of(t) if w.isalpha())
@@ -217,6 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.path, model.probs))  # pieces times languages, fixed
     keep = [c for c in docs.columns if c not in (lang, score)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(LanguageModel(*shared.value))
         for batch in text_batches(batches):

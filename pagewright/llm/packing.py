@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import merge_rows
-from .common import text_batches
+from .common import lean, text_batches
 from .tables import HashTable64
 
 MAX_TOKENS = 2048
@@ -277,6 +277,7 @@ def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = LIMITS, loss
                 offset += len(x.ids)
         return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

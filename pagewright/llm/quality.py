@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import held_out, materialize, sampled, text_batches
+from .common import held_out, lean, materialize, sampled, text_batches
 
 DOCS_PER_LABEL = 2_000
 DIM = 48
@@ -77,6 +77,7 @@ def context_vectors(rows: DataFrame) -> list[dict[str, np.ndarray]]:
     vectors of its neighbours. Counts and sums are made in tasks; the driver gets the VOCABULARY of either kind.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = Counter((k, w) for t in batch.column("text").to_pylist() for k, s in enumerate(streams_of(t)) for w in s if w)
@@ -88,6 +89,7 @@ def context_vectors(rows: DataFrame) -> list[dict[str, np.ndarray]]:
     index = [np.stack([index_vector(w) for w in words] or [np.zeros(DIM, np.float32)]).astype(np.int8) for words in frequent]
     shared = rows.sparkSession.sparkContext.broadcast((frequent, index))  # two vocabularies at most
 
+    @lean
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, vectors = shared.value
         places = [{w: i for i, w in enumerate(ws)} for ws in words]
@@ -221,6 +223,7 @@ def learn(rows: DataFrame, prior: float = 0.0) -> tuple[dict[str, np.ndarray], d
     cores, forms = context_vectors(rows)
     shared = rows.sparkSession.sparkContext.broadcast((cores, forms))  # two vocabularies at most
 
+    @lean
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler = Pooler(*shared.value)
         for batch in text_batches(batches):
@@ -252,6 +255,7 @@ def score(docs: DataFrame, model: tuple, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most two vocabularies of VOCABULARY vectors
     keep = [c for c in docs.columns if c != column]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cores, forms, net = shared.value
         pooler = Pooler(cores, forms)

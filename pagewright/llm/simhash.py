@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, text_batches
+from .common import lean, materialize, text_batches
 from .components import connected_components
 
 SEED = 42
@@ -50,6 +50,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, th (hash of the text), fp (signed long) of every row; null texts count as empty."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = [fingerprint(t, width) for t in batch.column("text").to_pylist()]
@@ -113,12 +114,14 @@ def links(fps: DataFrame, radius: int = 2, cap: int = CELL_CAP) -> DataFrame:
     if radius != 2:
         raise ValueError("the exact way for crowded cells is for a radius of 2")
 
+    @lean
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
             keys = grid_cells(values, radius=radius)
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(values, keys.shape[1]))], ["cell", "fp"])
 
+    @lean
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in batch.column(0).to_pylist():

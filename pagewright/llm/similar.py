@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_scratch, materialize, release, sampled, scratch, text_batches
+from .common import drop_scratch, lean, materialize, release, sampled, scratch, text_batches
 from .components import connected_components
 from .simhash import SEED, links, majority
 
@@ -109,6 +109,7 @@ def similar(x: int, y: int, both: int) -> bool:
 def _common(rows: DataFrame, width: int) -> np.ndarray:
     """Shingles that several texts of a sample hold."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = [shingles(t, width) for t in batch.column("text").to_pylist()]
@@ -124,6 +125,7 @@ def _scan(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
     """doc_id, th, node (digest of the set), size, fp (SimHash of the set), bits, parts of every row."""
     kind = "array<struct<at: int, size: int, sketch: binary, tokens: array<long>>>"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = [shingles(t, width) for t in batch.column("text").to_pylist()]
@@ -303,6 +305,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _edges(pairs: DataFrame, own: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """The similar ones of pairs of nodes."""
 
+    @lean
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             found = [shingles(t, width).tobytes() for t in batch.column("text").to_pylist()]
@@ -313,7 +316,7 @@ def _edges(pairs: DataFrame, own: DataFrame, rows: DataFrame, width: int) -> Dat
 
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     facts = own.select("node", "size", "bits")
-    alike = materialize(beside(beside(pairs, facts, "a"), facts, "b").mapInArrow(_alike, "a long, b long"), "alike")
+    alike = materialize(beside(beside(pairs, facts, "a"), facts, "b").mapInArrow(lean(_alike), "a long, b long"), "alike")
     nodes = alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct()
     wanted = materialize(own.join(nodes, "node").select("node", "th"), "wanted")
     # texts that cannot be wanted stay where they are: by remainders of their hashes, of which there are BUCKETS at most
@@ -322,7 +325,7 @@ def _edges(pairs: DataFrame, own: DataFrame, rows: DataFrame, width: int) -> Dat
     some = rows.withColumn("bucket", bucket).join(may, "bucket", "left_semi")
     texts = some.groupBy("th").agg(F.first("text").alias("text"))  # copies are combined before the shuffle
     found = materialize(texts.join(wanted, "th").select("node", "text").mapInArrow(every, "node long, set binary"), "sets")
-    return materialize(beside(beside(alike, found, "a"), found, "b").mapInArrow(_exact, "a long, b long"), "similar")
+    return materialize(beside(beside(alike, found, "a"), found, "b").mapInArrow(lean(_exact), "a long, b long"), "similar")
 
 
 def _by_fingerprints(own: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -362,7 +365,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) ->
         placed = held.select("node", "part.size", "part.sketch", "label", F.posexplode(tokens(held.part)).alias("pos", "token"))
         # few rows go to few tasks, so that a pair meets in few of them
         dealt = placed.select("token", "node", "size", "pos", "sketch", "label").repartition(int(1 + size // SHARD_ROWS), "token")
-        found = materialize(dealt.mapInArrow(pairs, "a long, b long"), "pairs")
+        found = materialize(dealt.mapInArrow(lean(pairs), "a long, b long"), "pairs")
         release(docs.sparkSession)  # the tokens are most of what the stage shuffles
         return found
 
